@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontam, quality, sharding, toxicity
+from corvane.llm import decontam, line_dedup, ngram_join, quality, sharding, toxicity
 from corvane.llm.common import prepare
 
 N_SHARDS = 64
@@ -33,7 +33,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_sharding)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_sharding, op8_ngram_jaccard_join, op9_line_dedup)}
 
 ORACLE_SQL = {
     "op4_sharding": sharding.ORACLE.format(docs="documents", columns="doc_id, n_bytes, byte_start", n=N_SHARDS),
