@@ -32,9 +32,10 @@ class QualityParams:
     buckets_log2: int = 17
     dim: int = 8
     epochs: int = 6
-    rate: float = 0.5
-    gram_sizes: tuple[int, ...] = (3, 4, 5)
-    per_class: int = 800  #: labelled documents per class that training uses at most
+    rate: float = 1.0
+    gram_sizes: tuple[int, ...] = (3, 4)
+    per_class: int = 2000  #: labelled documents per class that training uses at most
+    start: float = 0.1  #: spread of the first vectors, as a share of 1 / dim
     seed: int = 7
 
 
@@ -113,7 +114,7 @@ def train(column: pa.Array, labels: np.ndarray, params: QualityParams = QualityP
         if len(u):
             docs.append((u, (c / c.sum()).astype(np.float32)[:, None], classes.index(labels[i])))
     buckets, n_classes = 1 << p.buckets_log2, len(classes)
-    emb = rng.uniform(-1 / p.dim, 1 / p.dim, (buckets, p.dim)).astype(np.float32)
+    emb = rng.uniform(-p.start / p.dim, p.start / p.dim, (buckets, p.dim)).astype(np.float32)
     out, bias = np.zeros((p.dim, n_classes), np.float32), np.zeros(n_classes, np.float32)
     steps, done = p.epochs * len(docs), 0
     for _ in range(p.epochs):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontam, line_dedup, ngram_join, quality, sharding, toxicity
+from corvane.llm import cube, decontam, line_crf, line_dedup, ngram_join, quality, sharding, toxicity
 from corvane.llm.common import prepare
 
 N_SHARDS = 64
@@ -33,6 +33,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.label_lines(docs, line_crf.fit_lines(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_sharding, op8_ngram_jaccard_join, op9_line_dedup)}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.mix_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_sharding, op7_line_crf, op8_ngram_jaccard_join, op9_line_dedup, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op4_sharding": sharding.ORACLE.format(docs="documents", columns="doc_id, n_bytes, byte_start", n=N_SHARDS),
