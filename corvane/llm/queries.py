@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import cube, decontam, line_crf, line_dedup, ngram_join, quality, sharding, suffix, toxicity
+from corvane.llm import cube, debruijn, decontam, line_crf, line_dedup, ngram_join, quality, sharding, suffix, toxicity
 from corvane.llm.common import prepare
 
 N_SHARDS = 64
@@ -37,6 +37,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.label_lines(docs, line_crf.fit_lines(docs, table(spark, sf_dir, "labels")))
@@ -54,7 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_sharding, op5_suffix_dedup, op7_line_crf, op8_ngram_jaccard_join, op9_line_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_sharding, op5_suffix_dedup, op6_substring_dedup, op7_line_crf, op8_ngram_jaccard_join, op9_line_dedup, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op4_sharding": sharding.ORACLE.format(docs="documents", columns="doc_id, n_bytes, byte_start", n=N_SHARDS),
