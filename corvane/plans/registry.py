@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corvane.plans import text_queries
+
+MODULES = [text_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: plan for m in MODULES for name, plan in m.catalog.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.catalog.sql.items()}
