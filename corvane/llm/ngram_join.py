@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from corvane.llm import kernel as k
 from corvane.llm.common import Stored, texts
 from corvane.llm.components import connected_components
+from corvane.llm.verify import verified_pairs
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,8 @@ class JoinParams:
     rows: int = 5  #: 25 bands of 5 find a pair at 0.7 with probability 0.99, at 0.8 with 0.99995
     step: int = 16  #: signature values compared between two looks at the posterior
     tolerance: float = 0.005  #: posterior probability of reaching the threshold below which a pair is dropped
-    tile: int = 256  #: documents in a tile of a verification block
+    tile: int = 512  #: documents in a tile of a verification block
+    bucket_tile: int = 4096  #: documents in a tile of a band bucket
     seed: int = 11
 
 
@@ -105,8 +107,24 @@ def least_matches(threshold: float, tolerance: float, steps: list[int]) -> np.nd
     return np.array(out)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value for each row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(rows)])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The inverse of ``_binary``, as bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
+
+
 def _signed(src: DataFrame, p: JoinParams) -> DataFrame:
-    """(doc_id, fp1, fp2, sig): fingerprints of the word sequence and the signature, for texts with words."""
+    """(doc_id, fp1, fp2, keys, sketch) of each text with words.
+
+    Fingerprints of the word sequence, 64-bit keys of the bands, and the low byte of each signature value.
+    """
     mult = multipliers(p.bands * p.rows, p.seed)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,142 +136,111 @@ def _signed(src: DataFrame, p: JoinParams) -> DataFrame:
                 if not len(docs):
                     continue
                 sig = signatures(gram, start, mult)
-                place = np.arange(len(words)) - words.first[words.doc]
+                place = (np.arange(len(words)) - words.first[words.doc]).astype(np.uint64)
                 begin = words.first[docs]
-                fp1 = np.add.reduceat(k.mix(words.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin)
-                fp2 = np.add.reduceat(k.mix(words.hash ^ k.mix(place.astype(np.uint64) + np.uint64(77))), begin)
-                binary = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((np.arange(len(docs) + 1) * sig.shape[1] * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sig))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(docs)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), binary], ["doc_id", "fp1", "fp2", "sig"])
+                fp1 = np.add.reduceat(k.mix(words.hash + place * np.uint64(0x9E3779B97F4A7C15)), begin)
+                fp2 = np.add.reduceat(k.mix(words.hash ^ k.mix(place + np.uint64(77))), begin)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(docs)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), _binary(band_keys(sig, p.bands, p.rows)), _binary(sig.astype(np.uint8))],
+                    ["doc_id", "fp1", "fp2", "keys", "sketch"],
+                )
 
-    return src.mapInArrow(sign, "doc_id long, fp1 long, fp2 long, sig binary")
+    return src.mapInArrow(sign, "doc_id long, fp1 long, fp2 long, keys binary, sketch binary")
 
 
-def _sig_array(column: pa.Array, width: int) -> np.ndarray:
-    data, offsets = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
+def _memberships(reps: DataFrame, p: JoinParams) -> DataFrame:
+    """(band, rep, ta, tb): the tile pairs of every band bucket with two members or more.
 
-
-def _candidates(reps: DataFrame, p: JoinParams) -> DataFrame:
-    """(a, b), a < b: distinct documents that share a band."""
+    A bucket beyond ``bucket_tile`` members is cut in tiles; a task sees one pair of them at a time.
+    """
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = _sig_array(batch.column("sig"), p.bands * p.rows * 4).view(np.uint32)
-                keys = band_keys(sig, p.bands, p.rows)
-                ids = np.repeat(batch.column("rep").to_numpy(), p.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["band", "rep"])
+                keys = _matrix(batch.column("keys"), p.bands * 8).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("rep").to_numpy(), p.bands))], ["band", "rep"])
 
-    rows = reps.select("rep", "sig").mapInArrow(banded, "band long, rep long")
+    rows = reps.select("rep", "keys").mapInArrow(banded, "band long, rep long")
     buckets = rows.groupBy("band").agg(F.collect_set("rep").alias("ids")).where(F.size("ids") > 1)
-    first = buckets.select("ids", F.explode("ids").alias("a"))
-    return first.select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b")).distinct()
+    tiles = F.ceil(F.size("ids") / F.lit(float(p.bucket_tile))).cast("int")
+    one = buckets.withColumn("tiles", tiles).select("band", "tiles", F.explode("ids").alias("rep"))
+    one = one.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    return one.select("band", "rep", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u")).select("band", "rep", "t", F.least("t", "u").alias("ta"), F.greatest("t", "u").alias("tb"))
+
 
+def _pruned(reps: DataFrame, p: JoinParams) -> DataFrame:
+    """(a, b), a < b: pairs that share a band and whose posterior stays above the tolerance.
 
-def _pruned(pairs: DataFrame, reps: DataFrame, p: JoinParams) -> DataFrame:
-    """The candidates whose posterior stays above the tolerance; compares one byte of each signature value."""
+    Sketches travel to the buckets once for each membership, not once for each pair.
+    A pair counts in the first band that it shares, so it comes out once.
+    """
     width = p.bands * p.rows
     steps = [*range(p.step, width, p.step), width]
     need = least_matches(p.threshold, p.tolerance, steps)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                low = np.ascontiguousarray(_sig_array(batch.column("sig"), width * 4)[:, ::4])
-                offsets = pa.py_buffer((np.arange(len(low) + 1) * width).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.Array.from_buffers(pa.binary(), len(low), [None, offsets, pa.py_buffer(low)])], ["rep", "sketch"])
+    def pairs_of(ids: np.ndarray, tile: np.ndarray, cross: bool, keys: np.ndarray, sketch: np.ndarray, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m = len(ids)
+        at = int(np.flatnonzero((keys == band).all(0))[0])  # which of the bands this bucket is of
+        rows_at_once = max(1, 200_000 // m)
+        for low in range(0, m, rows_at_once):
+            i, j = np.meshgrid(np.arange(low, min(m, low + rows_at_once)), np.arange(m), indexing="ij")
+            ok = (ids[i] < ids[j]) & ((tile[i] != tile[j]) if cross else True)
+            i, j = i[ok], j[ok]
+            if at:
+                new = ~(keys[i, :at] == keys[j, :at]).any(1)
+                i, j = i[new], j[new]
+            matches, done = np.zeros(len(i), np.int64), 0
+            for n, least in zip(steps, need):
+                matches += (sketch[i, done:n] == sketch[j, done:n]).sum(1)
+                live, done = matches >= least, n
+                i, j, matches = i[live], j[live], matches[live]
+            if len(i):
+                yield ids[i], ids[j]
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["band", "ta", "tb"]
+
+        def flush(group: list) -> Iterator[pa.RecordBatch]:
+            key, *columns = (np.concatenate(x) for x in zip(*group))
+            ids, tile, keys, sketch = columns
+            if len(ids) > 1:
+                for a, b in pairs_of(ids, tile, bool(key[0, 1] != key[0, 2]), keys, sketch, int(key[0, 0])):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = _sig_array(batch.column("sa"), width), _sig_array(batch.column("sb"), width)
-            live, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
-            for n, least in zip(steps, need):
-                matches[live] += (x[live, done:n] == y[live, done:n]).sum(1)
-                live, done = live[matches[live] >= least], n
-            if len(live):
-                at = pa.array(live)
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
-
-    small = reps.select("rep", "sig").mapInArrow(sketch, "rep long, sketch binary")
-    joined = pairs.join(small.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(small.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long")
-
-
-def _verified(pairs: DataFrame, src: DataFrame, p: JoinParams) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold on their whole n-gram sets."""
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    of = lambda x: label.select(F.col("a").alias(x), F.col("label").alias(f"l{x}"))
-    blocks = Stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("la", "lb").alias("block")), "blocks")
-    held = blocks.df.select("block", F.col("a").alias("d")).unionByName(blocks.df.select("block", F.col("b").alias("d"))).distinct()
-    tiles = held.groupBy("block").agg(F.ceil(F.count("*") / p.tile).alias("tiles"))
-    tile = lambda d: F.pmod(F.xxhash64(d), F.col("tiles"))
-    tiled = blocks.df.join(tiles, "block").withColumn("ta", tile("a")).withColumn("tb", tile("b"))
-    keyed = Stored(tiled.select(F.xxhash64("block", F.least("ta", "tb"), F.greatest("ta", "tb")).alias("key"), "a", "b"), "keyed")
-    blocks.drop()
-    need = keyed.df.select("key", F.col("a").alias("d")).unionByName(keyed.df.select("key", F.col("b").alias("d"))).distinct()
-    lists = need.groupBy("d").agg(F.collect_list("key").alias("keys"))
-    found = src.join(lists, src["doc_id"] == lists["d"]).select("doc_id", "text", "keys")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in k.slices(batch, "text"):
-                doc, gram = shingles(k.Words(part.column("text")), p.n)
-                edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                ids = part.column("doc_id").to_pylist()
-                keys = part.column("keys").to_pylist()
-                for i in range(part.num_rows):
-                    data = np.unique(gram[edge[i] : edge[i + 1]]).tobytes()
-                    m = len(keys[i])
-                    for a in range(0, m, 64):  # a batch stays small however many blocks a document is in
-                        some = keys[i][a : a + 64]
-                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([ids[i]] * len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], ["key", "a", "b", "grams"])
-
-    rows = found.mapInArrow(sets, "key long, a long, b long, grams binary").unionByName(keyed.df.select("key", "a", "b", F.lit(None).cast("binary").alias("grams")))
-    # within a key the sets come first (their b is null), then the pairs
-    rows = rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
-        for batch in batches:
-            out_a, out_b, out_j = [], [], []
-            for key, a, b, data in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "grams"))):
-                if key != now:
-                    now, held = key, {}
-                if b is None:
-                    held.setdefault(a, []).append(np.frombuffer(data, np.uint64))
-                    continue
-                best = 0.0
-                for x in held.get(a, ()):
-                    for y in held.get(b, ()):
-                        if len(x) and len(y) and min(len(x), len(y)) >= p.threshold * max(len(x), len(y)):
-                            if len(x) > len(y):
-                                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                            else:
-                                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                            best = max(best, both / (len(x) + len(y) - both))
-                if best >= p.threshold:
-                    out_a.append(a)
-                    out_b.append(b)
-                    out_j.append(best)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["a", "b", "jaccard"])
-
-    return rows.mapInArrow(compare, "a long, b long, jaccard double")
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], 1)
+            ids, tile = batch.column("rep").to_numpy(), batch.column("t").to_numpy()
+            keys, sketch = _matrix(batch.column("keys"), p.bands * 8).view(np.int64), _matrix(batch.column("sketch"), width)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and (held[-1][0][0] != key[a]).any():
+                    yield from flush(held)
+                    held = []
+                held.append((key[a:b], ids[a:b], tile[a:b], keys[a:b], sketch[a:b]))
+        if held:
+            yield from flush(held)
+
+    rows = _memberships(reps, p).join(reps.select("rep", "keys", "sketch"), "rep")
+    rows = rows.select("band", "ta", "tb", "t", "rep", "keys", "sketch").repartition("band", "ta", "tb").sortWithinPartitions("band", "ta", "tb")
+    return rows.mapInArrow(prune, "a long, b long")
+
+
+def _sets(n: int):
+    return lambda column: shingles(k.Words(column), n)
 
 
 def _joined(docs: DataFrame, p: JoinParams, id_col: str, text_col: str) -> tuple[Stored, Stored]:
     """(members, pairs): texts with equal words as (rep, ids), and the similar pairs of reps."""
     src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    reps = Stored(_signed(src, p).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.collect_set("doc_id").alias("ids")).select("rep", "sig", "ids"), "reps")
-    pairs = Stored(_candidates(reps.df, p), "candidates")
-    left = Stored(_pruned(pairs.df, reps.df, p), "pruned")
-    pairs.drop()
+    signed = _signed(src, p).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.collect_set("doc_id").alias("ids"))
+    reps = Stored(signed.select("rep", "keys", "sketch", "ids"), "reps")
+    left = Stored(_pruned(reps.df, p), "pruned")
     members = Stored(reps.df.select("rep", "ids"), "members")
     reps.drop()
-    done = Stored(_verified(left.df.distinct(), src, p), "pairs")
+    done = Stored(verified_pairs(left.df, src.withColumnRenamed("doc_id", "id"), _sets(p.n), p.threshold, p.tile), "pairs")
     left.drop()
     return members, done
 
