@@ -104,7 +104,7 @@ def content_tokens(v: Column | str) -> Column:
 
 def statement_key(v: Column | str) -> Column:
     """Key text without a trailing citation in parentheses that ends in a year."""
-    return key_text(F.regexp_replace(clean_text(v), r"\s*\([^()]*\b(?:19|20)\d{2}\)\s*[.!?]?\s*$", ""))
+    return key_text(F.regexp_replace(clean_text(v), r"\s*\([^()]*\b(?:19|20)\d{2}[a-z]?\.?\)\s*$", ""))
 
 
 def ends_sentence(v: Column | str) -> Column:

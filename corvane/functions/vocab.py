@@ -69,4 +69,5 @@ SUPPORT_RANK = {"direct": 2, "background": 1}
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
 REVIEW_STATES = "approved auto_triaged pending rejected".split()
 
-GENERIC_TOPICS = sorted("general|summary|overview|other|misc|miscellaneous|key points|clinical pearls|take home points|notes".split("|"))
+#: words of a heading that name no topic; a show's own recurring names are added by the caller
+GENERIC_TOPICS = sorted("a few|bonus|clinical|key|quick|some|the|top".split("|"))
