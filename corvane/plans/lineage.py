@@ -1,0 +1,20 @@
+"""Cutting lineage between stages of a long build, so that it survives lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written to the session's checkpoint folder and read from there.
+
+    Only a local session without such a folder gets a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+    return df.checkpoint()
