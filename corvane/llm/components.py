@@ -2,20 +2,20 @@
 
 Every round is two shuffles over the edges, written to the shared folder, so a
 lost executor costs at most the current round. Rounds grow with the logarithm
-of the graph, and a node's edges are never gathered in one place: the minimum
-of its neighbours is an aggregate.
+of the graph; the least neighbour of a node is a window that spills.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Every edge with the least neighbour of its first end, by one shuffle."""
+    return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> Stored:
@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> Stored
     while True:
         # large star: neighbours above a node move to the least of its neighbourhood
         both = table.df.unionByName(table.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small star: a node and its lower neighbours move to the least of them
-        moved = large.join(_least(large), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        moved = _least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = Stored(moved.select("e.u", "e.v").where("u != v").distinct(), "edges")
         table.drop()
         table = new

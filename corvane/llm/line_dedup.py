@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from corvane.llm import kernel as k
 from corvane.llm.common import Stored, texts
 from corvane.llm.components import connected_components
+from corvane.llm.verify import verified_pairs
 
 
 @dataclass(frozen=True)
@@ -90,71 +91,180 @@ def line_keys(column: pa.Array, p: LineParams) -> np.ndarray:
     return keys
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    line = src.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    line = line.select("doc_id", "line_no", F.lower(F.trim(F.regexp_replace("raw", "[\\r\\t]", " "))).alias("line")).where("line != ''")
-    # two independent hashes: 128 bits tell lines apart at any size
-    return line.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+def split_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, line number, line) of the lines that aren't blank: lower case, tabs and returns as blanks, trimmed."""
+    data, offsets = k.buffers(k.strings(column))
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.string())
+    data = _PLAIN[data]
+    brk = np.flatnonzero(data == 10)
+    solid = np.flatnonzero((data != 32) & (data != 10))
+    # a line begins with its text or after a break; those at the same place are empty
+    start = np.sort(np.concatenate([offsets[:-1], brk + 1]))
+    end = np.r_[start[1:], n]
+    row = np.searchsorted(offsets, start, side="right") - 1
+    text_first = np.searchsorted(start, offsets[:-1])
+    number = np.arange(len(start)) - text_first[row]
+    a = np.searchsorted(solid, start)
+    b = np.searchsorted(solid, end) - 1
+    live = np.flatnonzero(b >= a)
+    first, last = solid[a[live]], solid[b[live]] + 1
+    mark = np.zeros(n + 1, np.int8)
+    mark[first] += 1
+    np.subtract.at(mark, last, 1)
+    inside = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+    size = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
+    lines = pa.Array.from_buffers(pa.string(), len(live), [None, pa.py_buffer(size), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    return row[live], number[live].astype(np.int32), lines
 
 
-def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, keep_doc_id, keep_line_no): each line that goes, and the line that stays for it."""
-    p = params
-    lines = _lines(docs, id_col, text_col)
-    where = F.struct("doc_id", "line_no")
-    distinct = Stored(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).withColumn("id", F.xxhash64("h1", "h2", F.lit(2))), "lines")
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[9, 13]] = 32
+
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(once: bool):
+    """Lines of documents; with ``once``, of equal lines in a task only the first, a second
+    place of it, and every place below all before: a line that millions of documents hold is
+    so shuffled a few times for each task, not once for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple[int, int]] = {}
+        twice: set[int] = set()
+        for batch in batches:
+            for part in k.slices(batch, "text"):
+                row, number, line = split_lines(part.column("text"))
+                if not len(row):
+                    continue
+                doc = part.column("doc_id").take(pa.array(row))
+                out = pa.RecordBatch.from_arrays([doc, pa.array(number), line], ["doc_id", "line_no", "line"])
+                if once:
+                    keep = []
+                    for i, (x, place) in enumerate(zip(map(hash, line.cast(pa.binary()).to_pylist()), zip(doc.to_pylist(), number.tolist()))):
+                        before = least.get(x)
+                        if before is None or place < before:
+                            least[x] = place
+                        elif x in twice or place == before:
+                            continue
+                        keep.append(i)
+                        if before is not None:
+                            twice.add(x)
+                    out = out.take(pa.array(keep, pa.int64()))
+                yield out
+
+    return run
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, once: bool) -> DataFrame:
+    """(doc_id, line_no, line, h1, h2); two hashes tell lines apart at any size."""
+    src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = src.mapInArrow(_rows(once), "doc_id long, line_no int, line string")
+    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+
+
+_DISTINCT = "id long, h1 long, h2 long, doc_id long, line_no int, n int, line string"
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each line of a partition that holds all rows of its lines: its first place, and how many."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    h1, h2, doc, no = (table.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "line_no"))
+    order = np.lexsort((no, doc, h2, h1))
+    new = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)]
+    first = np.flatnonzero(new)
+    # a repeated row of one place isn't a second line
+    place = np.r_[True, new[1:] | (np.diff(doc[order]) != 0) | (np.diff(no[order]) != 0)]
+    count = np.add.reduceat(place.astype(np.int32), first)
+    ids = k.mix(k.mix(h1[order[first]].view(np.uint64)) + h2[order[first]].view(np.uint64)).view(np.int64)
+    rows = table.take(pa.array(order[first])).combine_chunks()
+    rows = pa.table([pa.array(ids), *(rows.column(c) for c in ("h1", "h2", "doc_id", "line_no")), pa.array(count.astype(np.int32)), rows.column("line")], ["id", "h1", "h2", "doc_id", "line_no", "n", "line"])
+    yield from rows.to_batches(max_chunksize=10_000)
+
+
+def _bucketed(p: LineParams, buckets: int):
+    """(bucket, rows): band keys and ids of a slice of lines, packed by the bucket of the key.
+
+    A packed row stands for hundreds of (key, id) pairs; Spark shuffles them as one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in k.slices(batch, "line"):
                 keys = line_keys(part.column("line"), p)
-                ids = np.repeat(part.column("id").to_numpy(), p.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["band", "id"])
-
-    bands = distinct.df.select("id", "line").mapInArrow(banded, "band long, id long")
-    buckets = bands.groupBy("band").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-    one = buckets.select("ids", F.explode("ids").alias("a"))
-    pairs = Stored(one.select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b")).distinct(), "line_pairs")
-    ends = pairs.df.select(F.col("a").alias("id")).unionByName(pairs.df.select(F.col("b").alias("id"))).distinct()
-    used = Stored(distinct.df.select("id", "line").join(ends, "id", "left_semi"), "candidate_lines")
-    joined = pairs.df.join(used.df.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(used.df.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in k.slices(batch, "la"):
-                ok = np.flatnonzero(jaccard(part.column("la"), part.column("lb"), p.n) >= p.threshold)
-                if len(ok):
-                    at = pa.array(ok)
-                    yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
+                pairs = np.stack([keys.ravel().view(np.int64), np.repeat(part.column("id").to_numpy(), p.bands)], 1)
+                bucket = (keys.ravel() >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+                offsets = np.r_[first, len(bucket)].astype(np.int32) * 16
+                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs[order]))])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), packed], ["bucket", "rows"])
+
+    return run
+
+
+def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids that share a band key, in a partition that holds all rows of its keys."""
+    held = []
+    for batch in batches:
+        column = batch.column("rows")
+        if len(column):
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            held.append(np.frombuffer(column.buffers()[2], np.int64)[offsets[0] // 8 : offsets[-1] // 8].reshape(-1, 2).copy())
+    if not held:
+        return
+    pairs = np.concatenate(held)
+    band, ids = pairs[:, 0], pairs[:, 1]
+    order = np.lexsort((ids, band))
+    band, ids = band[order], ids[order]
+    first = np.flatnonzero(np.r_[True, np.diff(band) != 0])
+    size = np.diff(np.r_[first, len(band)])
+    # i-th member with every later one of its bucket; a few hundred thousand pairs at a time
+    last = np.repeat(first + size, size) - 1 - np.arange(len(band))  # members after each one
+    a = np.flatnonzero(last > 0)
+    done = 0
+    while done < len(a):
+        reach = np.cumsum(last[a[done:]])
+        some = a[done : done + max(1, int(np.searchsorted(reach, 500_000)))]
+        many = last[some]
+        left = np.repeat(some, many)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], ["a", "b"])
+        done += len(some)
+
 
-    edges = Stored(joined.select("a", "b", "la", "lb").mapInArrow(verify, "a long, b long"), "line_edges")
+def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no, keep_doc_id, keep_line_no): each line that goes, and the line that stays for it."""
+    p = params
+    distinct = Stored(_lines(docs, id_col, text_col, True).repartition("h1", "h2").mapInArrow(_distinct, _DISTINCT), "lines")
+
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = distinct.df.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket long, rows binary").repartition("bucket")
+    pairs = Stored(bands.mapInArrow(_band_pairs, "a long, b long").distinct(), "line_pairs")
+    edges = Stored(verified_pairs(pairs.df, distinct.df.select("id", F.col("line").alias("text")), _sets(p.n), p.threshold, dtype=np.uint32, connect=True), "line_edges")
     pairs.drop()
-    used.drop()
     roots = connected_components(edges.df)
-    firsts = distinct.df.select("id", "h1", "h2", "first", "n")
-    grouped = firsts.join(roots.df.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    kept = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
+    edges.drop()
+    firsts = distinct.df.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
+    # only lines that have another one: in a component, or in several places
+    grouped = firsts.join(roots.df.withColumnRenamed("node", "id"), "id", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "id"))
+    kept = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     copies = Stored(grouped.join(kept, "root").select("h1", "h2", "keep"), "copies")
     distinct.drop()
-    edges.drop()
     roots.drop()
-    out = lines.select("doc_id", "line_no", "h1", "h2").join(copies.df, ["h1", "h2"]).where(where != F.col("keep")).distinct()
+    out = _lines(docs, id_col, text_col, False).select("doc_id", "line_no", "h1", "h2").join(copies.df, ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("keep")).distinct()
     return out.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
 
 
-def jaccard(left: pa.Array, right: pa.Array, n: int) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of two columns of lines, row by row."""
-    rows = len(left)
-    sides = []
-    for column in (left, right):
+def _sets(n: int):
+    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         x, offsets = char_shingles(column, n)
-        line = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(offsets))
-        sides.append(np.unique(line << np.uint64(32) | x))
-    count = [np.bincount((s >> np.uint64(32)).astype(np.int64), minlength=rows) for s in sides]
-    both = np.intersect1d(*sides, assume_unique=True)
-    common = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=rows)
-    return common / np.maximum(count[0] + count[1] - common, 1)
+        return np.repeat(np.arange(len(column)), np.diff(offsets)), x
+
+    return sets
 
 
 def remove_duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +14,12 @@ from corvane.llm import kernel as k
 from corvane.llm.common import Stored
 
 
-def verified_pairs(pairs: DataFrame, src: DataFrame, sets_of: Callable, threshold: float, tile: int = 512) -> DataFrame:
+def verified_pairs(pairs: DataFrame, src: DataFrame, sets_of: Callable, threshold: float, tile: int = 512, dtype: type = np.uint64, connect: bool = False) -> DataFrame:
     """(a, b, jaccard) of the pairs (a, b) whose sets reach the threshold.
 
-    ``src``: (id, text). ``sets_of(column)``: (row, 64-bit element) of a column's sets, in order of rows.
+    ``src``: (id, text). ``sets_of(column)``: (row, element of ``dtype``) of a column's sets, in order of rows.
+    ``connect``: only what connects the same sets is wanted; a block's own union-find skips
+    pairs that pairs before them connect, and leaves a spanning forest of its part of the graph.
     Every set goes once to each block that its pairs are in, cut in tiles of ``tile`` sets.
     """
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,33 +37,45 @@ def verified_pairs(pairs: DataFrame, src: DataFrame, sets_of: Callable, threshol
     # texts are always shuffled: the same plan, and the same cost per byte, at every size
     found = src.hint("merge").join(lists, src["id"] == lists["d"]).select("id", "text", "keys")
 
+    width = np.dtype(dtype).itemsize
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in k.slices(batch, "text"):
-                doc, gram = sets_of(part.column("text"))
-                edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                ids = part.column("id").to_pylist()
-                keys = part.column("keys").to_pylist()
-                for i in range(part.num_rows):
-                    data = np.unique(gram[edge[i] : edge[i + 1]]).tobytes()
-                    m = len(keys[i])
-                    for a in range(0, m, 64):  # a batch stays small however many blocks a document is in
-                        some = keys[i][a : a + 64]
-                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([ids[i]] * len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], ["key", "a", "b", "grams"])
+                element, edge = _packed(*sets_of(part.column("text")), part.num_rows, dtype)
+                edge = edge * width
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(element)])
+                many = pc.list_value_length(part.column("keys")).to_numpy(zero_copy_only=False)
+                of = np.repeat(np.arange(part.num_rows), many)
+                keys = part.column("keys").flatten()
+                # a batch stays small however many blocks a set goes to
+                load = np.cumsum(np.diff(edge)[of] + 64)
+                cuts = np.flatnonzero(np.diff(load // (8 << 20))) + 1
+                for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
+                    take = pa.array(of[low:high])
+                    yield pa.RecordBatch.from_arrays([keys.slice(low, high - low), part.column("id").take(take), pa.nulls(high - low, pa.int64()), packed.take(take)], ["key", "a", "b", "grams"])
 
     rows = found.mapInArrow(sets, "key long, a long, b long, grams binary").unionByName(keyed.df.select("key", "a", "b", F.lit(None).cast("binary").alias("grams")))
     # within a key the sets come first (their b is null), then the pairs
     rows = rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, held, parent = None, {}, {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
         for batch in batches:
             out_a, out_b, out_j = [], [], []
             for key, a, b, data in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "grams"))):
                 if key != now:
-                    now, held = key, {}
+                    now, held, parent = key, {}, {}
                 if b is None:
-                    held.setdefault(a, []).append(np.frombuffer(data, np.uint64))
+                    held.setdefault(a, []).append(np.frombuffer(data, dtype))
+                    continue
+                if connect and find(a) == find(b):
                     continue
                 best = 0.0
                 for x in held.get(a, ()):
@@ -75,7 +90,21 @@ def verified_pairs(pairs: DataFrame, src: DataFrame, sets_of: Callable, threshol
                     out_a.append(a)
                     out_b.append(b)
                     out_j.append(best)
+                    if connect:
+                        parent[find(a)] = find(b)
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["a", "b", "jaccard"])
 
     return rows.mapInArrow(compare, "a long, b long, jaccard double")
+
+
+def _packed(row: np.ndarray, element: np.ndarray, rows: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, offsets): the distinct elements of each row, sorted; short sorts, one for each row."""
+    edge = np.searchsorted(row, np.arange(rows + 1)).tolist()
+    sets = [np.sort(element[a:b]) for a, b in zip(edge, edge[1:])]
+    size = [len(x) for x in sets]
+    element = np.concatenate(sets) if sets else np.zeros(0, dtype)
+    row = np.repeat(np.arange(rows), size)
+    new = np.ones(len(element), bool)
+    new[1:] = (element[1:] != element[:-1]) | (row[1:] != row[:-1])
+    return np.ascontiguousarray(element[new], dtype), np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=rows))])
