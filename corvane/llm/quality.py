@@ -78,6 +78,19 @@ def _features(column: pa.Array, p: QualityParams) -> list[tuple[np.ndarray, np.n
     return out
 
 
+def _word_count(column: pa.Array) -> np.ndarray:
+    """Runs of bytes above the blank in each text; 0 for null, empty and blank texts."""
+    data, offsets = k.buffers(k.strings(column, lower=False))
+    solid = data > 32
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    cut = offsets[:-1][offsets[:-1] < len(data)]
+    begin[cut] = solid[cut]
+    run = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(begin, out=run[1:])
+    return run[offsets[1:]] - run[offsets[:-1]]
+
+
 @dataclass
 class QualityModel:
     """``table[bucket, class]``: share of a bucket in the class scores; ``bias`` of the classes."""
@@ -88,7 +101,7 @@ class QualityModel:
     params: QualityParams
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(class probabilities, number of features) of each text."""
+        """(class probabilities, number of words) of each text."""
         n = len(column)
         total, count = np.zeros((n, len(self.classes))), np.zeros(n)
         for ids, span in _features(column, self.params):
@@ -99,7 +112,7 @@ class QualityModel:
                 total[:, c] += run[span[:, 1]] - run[span[:, 0]]
         z = total / np.maximum(count, 1)[:, None] + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True), count
+        return z / z.sum(1, keepdims=True), _word_count(column)
 
 
 def train(column: pa.Array, labels: np.ndarray, params: QualityParams = QualityParams()) -> QualityModel:
@@ -174,7 +187,7 @@ def classify_quality(docs: DataFrame, model: QualityModel | None, good: int = 1,
             for part in k.slices(batch, "text"):
                 text = part.column("text")
                 if model is None:
-                    count = sum((s[:, 1] - s[:, 0] for _, s in _features(text, QualityParams())), np.zeros(len(text), np.int64))
+                    count = _word_count(text)
                     prob = pa.array(np.where(count > 0, np.nan, 0.0), mask=count > 0)
                     keep = count > 0
                 else:
