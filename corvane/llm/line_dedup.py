@@ -104,8 +104,7 @@ def split_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     start = np.sort(np.concatenate([offsets[:-1], brk + 1]))
     end = np.r_[start[1:], n]
     row = np.searchsorted(offsets, start, side="right") - 1
-    text_first = np.searchsorted(start, offsets[:-1])
-    number = np.arange(len(start)) - text_first[row]
+    number = np.searchsorted(brk, start) - np.searchsorted(brk, offsets[row])
     a = np.searchsorted(solid, start)
     b = np.searchsorted(solid, end) - 1
     live = np.flatnonzero(b >= a)
@@ -201,7 +200,7 @@ def _bucketed(p: LineParams, buckets: int):
                 first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
                 offsets = np.r_[first, len(bucket)].astype(np.int32) * 16
                 packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs[order]))])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), packed], ["bucket", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), packed], ["bucket", "rows"])
 
     return run
 
@@ -241,8 +240,8 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col:
     p = params
     distinct = Stored(_lines(docs, id_col, text_col, True).repartition("h1", "h2").mapInArrow(_distinct, _DISTINCT), "lines")
 
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands = distinct.df.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket long, rows binary").repartition("bucket")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = distinct.df.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket int, rows binary").repartitionById(buckets, "bucket")
     pairs = Stored(bands.mapInArrow(_band_pairs, "a long, b long").distinct(), "line_pairs")
     edges = Stored(verified_pairs(pairs.df, distinct.df.select("id", F.col("line").alias("text")), _sets(p.n), p.threshold, dtype=np.uint32, connect=True), "line_edges")
     pairs.drop()
