@@ -65,7 +65,7 @@ def tag_list(v: Column | str, allowed: list[str] | None = None) -> Column:
 
 def year(v: Column | str) -> Column:
     """First year of 1900-2099 that stands by itself in a text."""
-    return F.regexp_extract(_c(v).cast("string"), r"(?U)\b((?:19|20)\d{2})\b", 1).try_cast("int")
+    return F.regexp_extract(_c(v).cast("string"), r"(?U)\b((?:20|19)[0-9]{2})\b", 1).try_cast("int")
 
 
 def registry_id(v: Column | str) -> Column:
@@ -80,7 +80,7 @@ def sample_size(v: Column | str) -> Column:
 
 def largest_sample(v: Column | str) -> Column:
     """Largest positive ``n = 1,234`` of a text."""
-    found = F.regexp_extract_all(F.coalesce(_c(v), F.lit("")), F.lit(r"\b[nN]\s*=\s*([\d,]{1,9})\b"), 1)
+    found = F.regexp_extract_all(F.coalesce(_c(v), F.lit("")), F.lit(r"(?i)\bn\s*=\s*([0-9,]{1,9})\b"), 1)
     return F.array_max(F.filter(F.transform(found, lambda x: F.regexp_replace(x, ",", "").try_cast("long")), lambda n: n > 0))
 
 
@@ -104,7 +104,7 @@ def content_tokens(v: Column | str) -> Column:
 
 def statement_key(v: Column | str) -> Column:
     """Key text without a trailing citation in parentheses that ends in a year."""
-    return key_text(F.regexp_replace(clean_text(v), r"\s*\([^()]*\b(?:19|20)\d{2}[a-z]?\.?\)\s*$", ""))
+    return key_text(F.regexp_replace(clean_text(v), r"\s*[(][^()]*\b(?:20|19)[0-9]{2}[a-z]?[.]?[)]\s*$", ""))
 
 
 def ends_sentence(v: Column | str) -> Column:
@@ -172,7 +172,12 @@ def search_text(v: Column | str) -> Column:
 
 
 def vague_label(v: Column | str) -> Column:
-    return F.coalesce(_c(v).rlike(r"(?i)^\s*(\d+|this (study|trial|paper|article)|(the )?(study|trial|paper|article|link|here|source))\s*$"), F.lit(False))
+    """Labels that name nothing: bare numbers, or a kind of study with no name."""
+    kinds = "cohort|observational|prospective|randomized|recent|retrospective"
+    nouns = "analysis|guidance|guideline|report|review|study|trial"
+    named = f"(?i)(?:(?:the|a) )?[0-9]{{0,4}}\\s*(?:(?:{kinds}) )*(?:{nouns})s?[.]?"
+    label = F.trim(_c(v))
+    return F.coalesce((label != "") & label.rlike(f"^(?:[0-9,\\s]+|{named})$"), F.lit(False))
 
 
 def truncated(v: Column | str, most: int) -> Column:

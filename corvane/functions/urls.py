@@ -71,11 +71,12 @@ def bare(url: Column | str) -> Column:
     return F.regexp_replace(u, "/+$", "")
 
 
-_PMID_AT_HOST = r"(?i)(?:pubmed\.ncbi\.nlm\.nih\.gov/|(?:www\.)?ncbi\.nlm\.nih\.gov/pubmed/)(\d{4,9})"
-_PMID_ANY = r"(?i)(?:pubmed\.ncbi\.nlm\.nih\.gov/|/pubmed/)(\d{4,9})"
-_PMCID = r"(?i)\bPMC\d+\b"
-_NCT = r"(?i)\bNCT\d{8}\b"
-_DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
+_LIBRARY = "ncbi[.]nlm[.]nih[.]gov"
+_PMID_AT_HOST = f"(?i)(?:{_LIBRARY}/pubmed/|pubmed[.]{_LIBRARY}/)([0-9]{{4,9}})"
+_PMID_ANY = f"(?i)(?:/pubmed/|pubmed[.]{_LIBRARY}/)([0-9]{{4,9}})"
+_PMCID = r"(?i)\bPMC[0-9]+\b"
+_NCT = r"(?i)\bNCT[0-9]{8}\b"
+_DOI = r"(?i)\b10[.][0-9]{4,9}/[A-Z0-9/:;._()-]+\b"
 
 
 def _find(v: Column | str, regex: str, group: int = 0) -> Column:

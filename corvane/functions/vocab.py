@@ -43,24 +43,24 @@ LINK_STUDY_RULES = [
 
 #: ordered (regular expression without case, journal)
 JOURNAL_RULES = [
-    (r"\bnejm\b|new england journal of medicine", "New England Journal of Medicine"),
+    (r"new england journal of medicine|\bnejm\b", "New England Journal of Medicine"),
     (r"\bjama\b", "JAMA"),
-    (r"\bthe lancet\b|\blancet\.", "The Lancet"),
-    (r"\bbmj\b|british medical journal", "BMJ"),
+    (r"\blancet[.]|\bthe lancet\b", "The Lancet"),
+    (r"british medical journal|\bbmj\b", "BMJ"),
     (r"annals of internal medicine", "Annals of Internal Medicine"),
     (r"kidney international", "Kidney International"),
-    (r"\bjasn\b|journal of the american society of nephrology", "JASN"),
+    (r"journal of the american society of nephrology|\bjasn\b", "JASN"),
     (r"diabetes care", "Diabetes Care"),
     (r"\bjacc\b", "JACC"),
-    (r"clinical infectious diseases|\bcid\b", "Clinical Infectious Diseases"),
+    (r"\bcid\b|clinical infectious diseases", "Clinical Infectious Diseases"),
 ]
 PUBLISHER_RULES = [(domain, name) for domain, name in (x.split("=") for x in "nejm.org=New England Journal of Medicine|jamanetwork.com=JAMA|thelancet.com=The Lancet|bmj.com=BMJ|annals.org=Annals of Internal Medicine|ahajournals.org=Circulation".split("|"))]
 
 HIGH_CONFIDENCE = "clinicaltrials.gov cochranelibrary.com doi.org dx.doi.org pmc.ncbi.nlm.nih.gov pubmed.ncbi.nlm.nih.gov uspreventiveservicestaskforce.org".split()
 EVIDENCE = (
-    "academic.oup.com acc.org acpjournals.org ahajournals.org annals.org atsjournals.org bmj.com cdc.gov diabetesjournals.org gastrojournal.org "
-    "idsociety.org jamanetwork.com journals.lww.com mayoclinicproceedings.org nature.com ncbi.nlm.nih.gov nejm.org onlinelibrary.wiley.com "
-    "publications.aap.org rheumatology.org sciencedirect.com springer.com thelancet.com thoracic.org"
+    "thoracic.org thelancet.com springer.com sciencedirect.com rheumatology.org publications.aap.org onlinelibrary.wiley.com nejm.org "
+    "ncbi.nlm.nih.gov nature.com mayoclinicproceedings.org journals.lww.com jamanetwork.com idsociety.org gastrojournal.org "
+    "diabetesjournals.org cdc.gov bmj.com atsjournals.org annals.org ahajournals.org acpjournals.org acc.org academic.oup.com"
 ).split()
 #: shops, social media and players; a show's own hosts are added by the caller
 EXCLUDED = "amazon.com apple.com facebook.com instagram.com patreon.com spotify.com twitter.com x.com youtube.com".split()
@@ -69,5 +69,27 @@ SUPPORT_RANK = {"direct": 2, "background": 1}
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
 REVIEW_STATES = "approved auto_triaged pending rejected".split()
 
+#: word of a title -> category, for ``workflow.episode_category``
+TITLE_WORDS = {
+    word: category
+    for category, words in (
+        ("cardiology", "statin lipid cholesterol hypertension heart afib"),
+        ("endocrinology", "nutrition obesity thyroid diabetes"),
+        ("nephrology", "dialysis renal kidney"),
+        ("pulmonology", "asthma copd"),
+        ("infectious disease", "vaccine antibiotic hiv sepsis"),
+        ("neurology", "seizure migraine headache stroke"),
+        ("hematology", "anticoagulation anemia"),
+        ("oncology", "cancer"),
+        ("preventive medicine", "screening"),
+        ("rheumatology", "lupus arthritis gout"),
+        ("dermatology", "psoriasis eczema rash"),
+        ("psychiatry", "addiction anxiety depression"),
+        ("geriatrics", "frailty dementia"),
+        ("gastroenterology", "reflux ibd hepatitis liver"),
+    )
+    for word in words.split()
+}
+
 #: words of a heading that name no topic; a show's own recurring names are added by the caller
 GENERIC_TOPICS = sorted("a few|bonus|clinical|key|quick|some|the|top".split("|"))

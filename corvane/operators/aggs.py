@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.lineage import cut
+
 
 def preferred_text(value: str, ord_: str = "ord") -> Column:
     """Longest non-empty text, the earliest of equally long ones."""
@@ -50,11 +52,12 @@ def dense_ids(df: DataFrame, order: Sequence[Column], name: str = "id") -> DataF
     """0, 1, 2 ... in a total order, without gathering the rows in one partition.
 
     Rows are range-partitioned by the order; a partition's first number is the
-    sum of the counts before it. The counts, one row per partition, are all
-    that reaches the driver.
+    sum of the counts before it. The counts are one row per partition. The
+    ranges are written before they are counted: two readings of an unwritten
+    plan could sample different bounds.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_i", F.col("_i").bitwiseAND((1 << 33) - 1))
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", row))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")

@@ -16,12 +16,28 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import let, search_text
 
-STOP = frozenset("a an and are as at by for from in is of on or the to vs was with".split())
+STOP = frozenset("with vs to the or on of is in how from for by at as are and an a".split())
 
 #: words that search as each other
 SYNONYMS = {
-    "afib": ["atrial fibrillation"], "ckd": ["chronic kidney disease"], "copd": ["chronic obstructive pulmonary disease"], "dm": ["diabetes"], "gerd": ["reflux"],
-    "htn": ["hypertension"], "hf": ["heart failure"], "mi": ["myocardial infarction"], "pe": ["pulmonary embolism"], "sglt2": ["sglt2 inhibitor"], "uti": ["urinary tract infection"], "vte": ["venous thromboembolism"],
+    short: long.split("|")
+    for short, long in (
+        line.strip().split(": ")
+        for line in """
+        t2dm: type 2 diabetes|diabetes
+        sglt2: sglt-2|sodium glucose|gliflozin|canagliflozin|dapagliflozin|empagliflozin
+        sglt 2: sglt2|sodium glucose|gliflozin|canagliflozin|dapagliflozin|empagliflozin
+        mi: myocardial infarction
+        htn: blood pressure|hypertension
+        hf: heart failure
+        glp1: semaglutide|glp-1
+        glp 1: semaglutide|glp-1
+        doac: anticoagulation|direct oral anticoagulant
+        ckd: kidney|chronic kidney disease
+        bp: hypertension|blood pressure
+        afib: atrial fibrillation
+        """.strip().splitlines()
+    )
 }
 
 
@@ -60,10 +76,8 @@ def parse(query: str) -> Parsed:
 
 
 def variants(term: str) -> list[str]:
-    """A word and its synonyms, in either direction."""
-    out = [term, *SYNONYMS.get(term, [])]
-    out += [short for short, long in SYNONYMS.items() if term in long]
-    return list(dict.fromkeys(fold(x) for x in out))
+    """A word and its synonyms."""
+    return list(dict.fromkeys(fold(x) for x in [term, *SYNONYMS.get(term, [])]))
 
 
 def has_term(text: Column, term: str) -> Column:
@@ -80,7 +94,7 @@ class Field:
     phrase: int
 
 
-FIELDS = (Field("title", 34, 72), Field("label", 25, 52), Field("topics", 15, 34), Field("summary", 14, 30), Field("tags", 12, 24), Field("statements", 8, 18), Field("episodes", 8, 18))
+FIELDS = (Field("title", 34, 72), Field("topic", 25, 52), Field("summary", 15, 34), Field("statements", 14, 30), Field("metadata", 12, 24), Field("episode", 8, 18), Field("citations", 8, 18))
 
 
 def _field_score(term: str, fields: tuple[Field, ...], phrase: bool, of: dict[str, Column]) -> Column:

@@ -179,7 +179,7 @@ def clinical_topic(segment: str, heading: str, cited: str, category: str) -> Col
     return F.coalesce(*[text.clean_text(c) for c in (segment, heading, cited, category)])
 
 
-def episode_category(mentions: DataFrame, titles: DataFrame, keywords: dict[str, str]) -> DataFrame:
+def episode_category(mentions: DataFrame, titles: DataFrame, keywords: dict[str, str] = vocab.TITLE_WORDS) -> DataFrame:
     """(episode_url, label, score, is_top, is_secondary): a vote for each tag of a mention, two for each keyword in the title."""
     tags = mentions.select("episode_url", F.posexplode("specialty_tags").alias("_p", "label"), "ord").select("episode_url", "label", F.lit(1).alias("weight"), (F.col("ord") * 64 + F.col("_p")).alias("ord"))
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(c).alias("c")) for i, (w, c) in enumerate(keywords.items())])

@@ -121,13 +121,13 @@ def facet_counts(t):
 
 
 @query("""
-    select case when y between 1990 and 2029 then (y - y % 10)::varchar || 's' when y < 1990 then 'before 1990' else 'unknown' end as era, count(*)::bigint as n from (select year(o_orderdate) as y from orders) group by 1""")
+    select case when y between 1990 and 2029 then (y - y % 10)::varchar || 's' when y < 1990 then 'pre-1990' else 'unknown' end as era, count(*)::bigint as n from (select year(o_orderdate) as y from orders) group by 1""")
 def era_buckets(t):
     return t.orders.groupBy(era(F.year("o_orderdate")).alias("era")).agg(F.count("*").alias("n"))
 
 
 def era(y):
-    return F.when(y.isNull() | (y == 0) | (y > 2029), "unknown").when(y < 1990, "before 1990").otherwise(F.concat((y - y % 10).cast("string"), F.lit("s")))
+    return F.when(y.isNull() | (y == 0) | (y > 2029), "unknown").when(y < 1990, "pre-1990").otherwise(F.concat((y - y % 10).cast("string"), F.lit("s")))
 
 
 @query("""

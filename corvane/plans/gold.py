@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import canonical, validate
 from corvane.operators.review import publishable
-from corvane.plans.lineage import cut
+from corvane.operators.lineage import cut
 
 SCREENED = ("population", "intervention", "comparator", "outcome", "clinical_bottom_line", "applicability", "study_quality_limitations", "grounded_in")
 
@@ -35,15 +35,15 @@ def build(episodes: DataFrame, mentions: DataFrame, statements: DataFrame, link_
 
     Feedback is attached before stale link keys are repaired, so a flag on a repaired key isn't shown.
     """
-    evidence = cut(canonical.canonical_evidence(mentions))
-    links = cut(canonical.show_note_links(episodes))
+    evidence = canonical.canonical_evidence(mentions)
+    links = canonical.show_note_links(episodes)
     records = cut(canonical.match_show_notes(canonical.show_note_evidence(links), evidence))
     stats = canonical.merge_stats(records)
-    merged = cut(canonical.merge_show_notes(evidence, records.drop("canonical_key"), links))
+    merged = canonical.merge_show_notes(evidence, records.drop("canonical_key"), links)
     if screening is not None:
         passed = screening.where((F.col("review_status") == "approved") & (F.coalesce("reviewed_by", F.lit("")) != ""))
         merged = canonical.attach_screening(merged, passed, SCREENED)
-    said = cut(canonical.canonical_statements(canonical.attach_evidence_links(statements, approved_links(link_records))))
+    said = canonical.canonical_statements(canonical.attach_evidence_links(statements, approved_links(link_records)))
     if feedback is not None:
         said = canonical.attach_feedback(said, canonical.approved_feedback(feedback))
     said = cut(canonical.repair_links(said, merged))

@@ -123,12 +123,12 @@ def _score_sql(term: str, weights: dict[str, int]) -> str:
     return "(" + " + ".join(f"case when {hit.format(c=c)} then {w} + case when strpos({c}, '{term}') between 1 and 26 then {int(0.35 * w + 0.5)} else 0 end else 0 end" for c, w in weights.items()) + ")"
 
 
-_PARTS = f"f as (select p_partkey, {_FOLDED.format('p_name')} as title, {_FOLDED.format('p_brand')} as label, {_FOLDED.format('p_type')} as topics from part)"
-_WORD, _PHRASE = {"title": 34, "label": 25, "topics": 15}, {"title": 72, "label": 52, "topics": 34}
+_PARTS = f"f as (select p_partkey, {_FOLDED.format('p_name')} as title, {_FOLDED.format('p_brand')} as topic, {_FOLDED.format('p_type')} as summary from part)"
+_WORD, _PHRASE = {"title": 34, "topic": 25, "summary": 15}, {"title": 72, "topic": 52, "summary": 34}
 
 
 def _searched(t, q: str):
-    fields = t.part.select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("label"), F.col("p_type").alias("topics"))
+    fields = t.part.select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("topic"), F.col("p_type").alias("summary"))
     return search.lexical(fields, q).select("p_partkey", "score", "coverage")
 
 
@@ -141,7 +141,7 @@ def lexical_search(t):
 
 
 @query(f"""
-    with {_PARTS}, n as (select p_partkey, {_score_sql('brand 1', _PHRASE)} + 38 as a, {_score_sql('small', _WORD)} as b from f where contains(title, 'brand 1') or contains(label, 'brand 1') or contains(topics, 'brand 1'))
+    with {_PARTS}, n as (select p_partkey, {_score_sql('brand 1', _PHRASE)} + 38 as a, {_score_sql('small', _WORD)} as b from f where contains(title, 'brand 1') or contains(topic, 'brand 1') or contains(summary, 'brand 1'))
     select p_partkey, (a + b + 22)::double as score, 1::double as coverage from n where b > 0""")
 def phrase_search(t):
     return _searched(t, '"brand 1" small')
@@ -149,7 +149,7 @@ def phrase_search(t):
 
 @query(f"""
     with {_PARTS} select p_partkey, 22::double + {_score_sql('small', _WORD)} as score, 1::double as coverage from f where {_score_sql('small', _WORD)} > 0
-        and not (contains(title, 'bolt') or contains(label, 'bolt') or contains(topics, 'bolt'))""")
+        and not (contains(title, 'bolt') or contains(topic, 'bolt') or contains(summary, 'bolt'))""")
 def exclusion_search(t):
     return _searched(t, "small -bolt")
 

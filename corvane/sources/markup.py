@@ -118,7 +118,7 @@ def caption_lines(vtt: str) -> list[str]:
 
 def _year(*texts: str | None) -> int | None:
     for t in texts:
-        if m := re.search(r"\b(?:19|20)\d{2}\b", t or ""):
+        if m := re.search(r"\b(?:20|19)[0-9]{2}\b", t or ""):
             return int(m[0])
     return None
 

@@ -52,7 +52,8 @@ def test_small_functions(value):
     assert value(text.numbers_in_title(s("#1 and #22 and #1"))) == [1, 22]
     assert value(text.slug(s("Show #12: Crème & it's Late"))) == "creme-and-its-late"
     assert value(text.search_text(s("Ménière’s  Disease"))) == "meniere s disease"
-    assert value(text.vague_label(s(" this study "))) and not value(text.vague_label(s("the alpha study")))
+    assert all(value(text.vague_label(s(x))) for x in (" a recent cohort study.", "12, 4", "The 2020 trials"))
+    assert not any(value(text.vague_label(s(x))) for x in ("the alpha study", "", None))
     assert value(text.truncated(s("  abcdef "), 3)) == "abc" and value(text.truncated(s("  "), 3)) is None
     assert value(text.progress(F.lit(5), F.lit(10), 10)) == "[#####-----] 5/10 (50%)"
     assert value(text.decision(s(" Approve "))) == "approved" and value(text.decision(s("x"))) is None
