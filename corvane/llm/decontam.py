@@ -42,7 +42,7 @@ class DecontamParams:
     rare_share: float = 2e-4  #: a seed is rare if at most this share of the documents holds it
     rare_docs: int = 20  #: ... or at most so many documents
     least_seeds: int = 6  #: an item's rarest seeds are used however common they are
-    min_score: float = 0.5  #: share of the best alignment score from which a document is contaminated
+    min_score: float = 0.45  #: share of the best alignment score from which a document is contaminated; chance hits stay below 0.36
     slack: float = 0.5  #: text beyond both ends of the expected place, in item lengths
     max_items_words: int = 4_000_000
 

@@ -46,18 +46,26 @@ def char_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     total = int(count.sum())
     if not total:
         return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-    rolled = np.zeros(max(len(data) - n + 1, 0), np.uint32)
-    for j in range(n):
-        rolled = rolled * np.uint32(0x01000193) + data[j : j + len(rolled)]
+    # hash of n bytes from every place, put together from powers of two as k.grams does
+    rolled, have, width, left, base = None, 0, 1, n, 0x01000193
+    block = data.astype(np.uint32)
+    places = max(len(data) - n + 1, 0)
+    while left:
+        if left & 1:
+            piece = block[have : have + places]
+            rolled = piece.copy() if rolled is None else rolled * np.uint32(pow(base, width, 1 << 32)) + piece
+            have += width
+        left >>= 1
+        if left:
+            block = block[: max(len(block) - width, 0)] * np.uint32(pow(base, width, 1 << 32)) + block[width:]
+            width *= 2
     # windows that begin in a line and end in it, picked without a loop over lines
-    keep = np.zeros(len(data), bool)
-    edge = np.zeros(len(data) + 1, np.int32)
+    edge = np.zeros(len(data) + 1, np.int8)
     long = np.flatnonzero(size >= n)
-    np.add.at(edge, offsets[long], 1)
-    np.add.at(edge, offsets[long] + count[long], -1)
-    keep = np.cumsum(edge[:-1]) > 0
+    edge[offsets[long]] += 1
+    edge[offsets[long] + count[long]] -= 1  # no two long lines end or begin their windows in one place
     out = np.empty(total, np.uint32)
-    pos = np.flatnonzero(keep)
+    pos = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
     whole = size >= n
     short = np.flatnonzero((size > 0) & ~whole)
     if len(short):
@@ -82,12 +90,13 @@ def line_keys(column: pa.Array, p: LineParams) -> np.ndarray:
     x, offsets = char_shingles(column, p.n)
     start = offsets[:-1]
     keys = np.empty((len(column), p.bands), np.uint64)
+    scaled = np.empty_like(x)
     for b in range(p.bands):
         key = np.full(len(column), b + 1, np.uint64)
         for r in range(p.rows):
-            low = np.minimum.reduceat(x * mult[b * p.rows + r], start)
-            key = k.mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
-        keys[:, b] = key
+            # odd multipliers: a fingerprint of all rows of the band, spread by one mix
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(np.multiply(x, mult[b * p.rows + r], out=scaled), start)
+        keys[:, b] = k.mix(key)
     return keys
 
 
