@@ -203,7 +203,7 @@ def _bucketed(p: LineParams, buckets: int):
             for part in k.slices(batch, "line"):
                 keys = line_keys(part.column("line"), p)
                 pairs = np.stack([keys.ravel().view(np.int64), np.repeat(part.column("id").to_numpy(), p.bands)], 1)
-                bucket = (keys.ravel() >> np.uint64(33)) % np.uint64(buckets)
+                bucket = ((keys.ravel() >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
                 order = np.argsort(bucket, kind="stable")
                 bucket = bucket[order]
                 first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
@@ -226,7 +226,7 @@ def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     pairs = np.concatenate(held)
     band, ids = pairs[:, 0], pairs[:, 1]
-    order = np.lexsort((ids, band))
+    order = np.argsort(band)
     band, ids = band[order], ids[order]
     first = np.flatnonzero(np.r_[True, np.diff(band) != 0])
     size = np.diff(np.r_[first, len(band)])
@@ -240,7 +240,7 @@ def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = last[some]
         left = np.repeat(some, many)
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], ["a", "b"])
         done += len(some)
 
 
