@@ -142,13 +142,13 @@ def quotes_verbatim(text: Column | str, quote: Column | str, least: int = 15) ->
 
 def number_in_title(title: Column | str, url: Column | str) -> Column:
     """``#123`` in the title, else a delimited number of up to 4 digits in title or URL."""
-    mark = F.regexp_extract(_c(title), r"#(\d{1,4})\b", 1)
+    mark = F.regexp_extract(_c(title), r"#([0-9]{1,4})\b", 1)
     loose = [F.regexp_extract(_c(x), r"(?:^|[^0-9A-Za-z])(\d{1,4})(?:$|[^0-9A-Za-z])", 1) for x in (title, url)]
     return F.coalesce(*[nullify(x) for x in (mark, *loose)]).cast("int")
 
 
 def numbers_in_title(title: Column | str) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(_c(title), F.lit("")), F.lit(r"#(\d{1,4})\b"), 1), lambda x: x.cast("int")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(_c(title), F.lit("")), F.lit(r"#([0-9]{1,4})\b"), 1), lambda x: x.cast("int")))
 
 
 def slug(v: Column | str) -> Column:
@@ -203,5 +203,5 @@ def progress(done: Column | str, total: Column | str, width: int = 20) -> Column
 
 def decision(v: Column | str) -> Column:
     """Verbs of a reviewer to a state; unknown ones become null."""
-    table = {"approve": "approved", "approved": "approved", "accept": "approved", "reject": "rejected", "rejected": "rejected", "deny": "rejected", "reset": "reset", "pending": "reset"}
+    table = {verb: state for state, verbs in (("approved", "accept approve approved"), ("rejected", "deny reject rejected"), ("reset", "pending reset")) for verb in verbs.split()}
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.lower(F.trim(_c(v))))

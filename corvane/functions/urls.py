@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corvane.functions import vocab
 from corvane.functions.text import _c, clean_text, key_text, let, nullify
 
+#: host of the library whose ids name publications
+LIBRARY = "ncbi.nlm.nih.gov"
+
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -37,10 +40,10 @@ def is_generic(url: Column | str) -> Column:
 def _generic(p: Column) -> Column:
     host, path = p["host"], p["path"]
     tests = [
-        (host == "pubmed.ncbi.nlm.nih.gov") & ~path.rlike(r"^/\d{4,9}$"),
-        host.endswith("ncbi.nlm.nih.gov") & path.isin("", "/pubmed", "/pmc", "/pmc/articles"),
+        (host == f"pubmed.{LIBRARY}") & ~path.rlike(r"^/\d{4,9}$"),
+        host.endswith(LIBRARY) & path.isin("/pmc/articles", "/pmc", "/pubmed", ""),
         host.endswith("clinicalkey.com") & (path == "") & ~p["mark"].startswith("!/content/"),
-        host.isin("doi.org", "dx.doi.org", "clinicaltrials.gov") & (path == ""),
+        host.isin("clinicaltrials.gov", "dx.doi.org", "doi.org") & (path == ""),
     ]
     out = F.lit(False)
     for t in tests:
@@ -71,7 +74,7 @@ def bare(url: Column | str) -> Column:
     return F.regexp_replace(u, "/+$", "")
 
 
-_LIBRARY = "ncbi[.]nlm[.]nih[.]gov"
+_LIBRARY = LIBRARY.replace(".", "[.]")
 _PMID_AT_HOST = f"(?i)(?:{_LIBRARY}/pubmed/|pubmed[.]{_LIBRARY}/)([0-9]{{4,9}})"
 _PMID_ANY = f"(?i)(?:/pubmed/|pubmed[.]{_LIBRARY}/)([0-9]{{4,9}})"
 _PMCID = r"(?i)\bPMC[0-9]+\b"
@@ -145,8 +148,8 @@ def canonical_form(url: Column | str) -> Column:
         return let(
             known,
             lambda k: F.when(u.isNull() | (_part(u, 2) == ""), u)
-            .when(k["pmid"].isNotNull(), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), k["pmid"]))
-            .when(k["pmcid"].isNotNull(), F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/"), k["pmcid"]))
+            .when(k["pmid"].isNotNull(), F.concat(F.lit(f"https://pubmed.{LIBRARY}/"), k["pmid"]))
+            .when(k["pmcid"].isNotNull(), F.concat(F.lit(f"https://www.{LIBRARY}/pmc/articles/"), k["pmcid"]))
             .when(k["host"].endswith("clinicaltrials.gov") & k["nct"].isNotNull(), F.concat(F.lit("https://clinicaltrials.gov/study/"), k["nct"]))
             .when(k["host"].isin("doi.org", "dx.doi.org") & k["doi"].isNotNull(), F.concat(F.lit("https://doi.org/"), k["doi"]))
             .otherwise(F.concat(F.lit("https://"), k["host"], k["path"])),

@@ -65,8 +65,8 @@ EVIDENCE = (
 #: shops, social media and players; a show's own hosts are added by the caller
 EXCLUDED = "amazon.com apple.com facebook.com instagram.com patreon.com spotify.com twitter.com x.com youtube.com".split()
 
-SUPPORT_RANK = {"direct": 2, "background": 1}
-CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
+SUPPORT_RANK = dict(background=1, direct=2)
+CONFIDENCE_RANK = dict(low=1, medium=2, high=3)
 REVIEW_STATES = "approved auto_triaged pending rejected".split()
 
 #: word of a title -> category, for ``workflow.episode_category``

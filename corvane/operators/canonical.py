@@ -18,8 +18,8 @@ from corvane.operators.parsers import markdown_links
 
 _TEXTS = ["citation_label", "paper_title", "pubmed_url", "brief_summary", "context_topic"]
 _MODES = ["year", "study_type", "nct_id", "sample_size", "journal"]
-_EPISODE = ["episode_number", "episode_title", "episode_url", "episode_date"]
-_LINK_FIELDS = ["citation_label", "paper_title", "pubmed_url", "year", "study_type", "journal", "sample_size", "nct_id"]
+_EPISODE = "episode_number episode_title episode_url episode_date".split()
+_LINK_FIELDS = "citation_label journal nct_id paper_title pubmed_url sample_size study_type year".split()
 
 
 def _tags(column: str) -> Column:

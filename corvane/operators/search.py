@@ -52,7 +52,7 @@ def fold(v: str) -> str:
     import unicodedata
 
     plain = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
-    return re.sub(r"[^a-z0-9]+", " ", plain.lower()).strip()
+    return " ".join(re.findall("[a-z0-9]+", plain.lower()))
 
 
 def parse(query: str) -> Parsed:

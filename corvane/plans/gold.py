@@ -11,7 +11,7 @@ from corvane.operators import canonical, validate
 from corvane.operators.review import publishable
 from corvane.operators.lineage import cut
 
-SCREENED = ("population", "intervention", "comparator", "outcome", "clinical_bottom_line", "applicability", "study_quality_limitations", "grounded_in")
+SCREENED = tuple("applicability clinical_bottom_line comparator grounded_in intervention outcome population study_quality_limitations".split())
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text, urls, vocab
+from corvane.functions.urls import LIBRARY
 from corvane.plans.base import Catalog
 
 catalog = Catalog()
@@ -61,15 +62,15 @@ def url_domain(t):
     return t.pages.groupBy(urls.domain("url").alias("host")).agg(F.count("*").alias("pages"), F.countDistinct(urls.bare("url")).alias("addresses"))
 
 
-_SEED_URLS = """(case p_partkey % 8
-    when 0 then 'http://www.ncbi.nlm.nih.gov/pubmed/' || (10000 + p_partkey)
-    when 1 then 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + p_partkey) || '/?from=x'
+_SEED_URLS = f"""(case p_partkey % 8
+    when 0 then 'http://www.{LIBRARY}/pubmed/' || (10000 + p_partkey)
+    when 1 then 'https://pubmed.{LIBRARY}/' || (10000 + p_partkey) || '/?from=x'
     when 2 then 'https://doi.org/10.1000/Ab' || p_partkey || '.'
     when 3 then 'https://clinicaltrials.gov/study/NCT' || lpad(cast(p_partkey as varchar(8)), 8, '0')
     when 4 then 'https://www.example.org/Paper/' || p_partkey || '/#top'
-    when 5 then 'https://pubmed.ncbi.nlm.nih.gov/?term=x'
+    when 5 then 'https://pubmed.{LIBRARY}/?term=x'
     when 6 then null
-    else 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || p_partkey || '/' end)"""
+    else 'https://www.{LIBRARY}/pmc/articles/PMC' || p_partkey || '/' end)"""
 
 
 @query(f"""
@@ -83,11 +84,11 @@ def identity_keys(t):
     return seeded.select("p_partkey", urls.mention_key("url", "p_name", "p_brand", F.lit(None)).alias("identity_key"))
 
 
-@query("""
+@query(f"""
     select p_partkey, case p_partkey % 8
-        when 0 then 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + p_partkey) when 1 then 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + p_partkey)
+        when 0 then 'https://pubmed.{LIBRARY}/' || (10000 + p_partkey) when 1 then 'https://pubmed.{LIBRARY}/' || (10000 + p_partkey)
         when 2 then 'https://doi.org/10.1000/ab' || p_partkey || '.' when 3 then 'https://clinicaltrials.gov/study/NCT' || lpad(p_partkey::varchar, 8, '0')
-        when 4 then 'https://example.org/Paper/' || p_partkey when 7 then 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || p_partkey end as address,
+        when 4 then 'https://example.org/Paper/' || p_partkey when 7 then 'https://www.{LIBRARY}/pmc/articles/PMC' || p_partkey end as address,
         p_partkey % 8 in (5, 6) as generic, p_partkey % 8 in (0, 1, 2, 3, 7) as likely from part""")
 def evidence_urls(t):
     seeded = t.part.withColumn("url", F.expr(_SEED_URLS.replace("varchar(8)", "string")))

@@ -82,7 +82,7 @@ def feed_date(v: Column | str) -> Column:
     """ISO date of an RFC-2822 date, else the first ISO date in the text, else ''."""
     v = F.col(v) if isinstance(v, str) else v
     parts = F.regexp_extract(v, r"(\d{1,2} [A-Za-z]{3} \d{4})", 1)
-    iso = F.regexp_extract(v, r"\d{4}-\d{2}-\d{2}", 0)
+    iso = F.regexp_extract(v, r"\d{4}(?:-\d\d){2}", 0)
     return F.coalesce(F.date_format(F.try_to_timestamp(parts, F.lit("d MMM yyyy")), "yyyy-MM-dd"), F.nullif(iso, F.lit("")), F.lit(""))
 
 

@@ -39,8 +39,8 @@ def anchors(df: DataFrame, page: str) -> DataFrame:
 
 def published(page: Column | str) -> Column:
     """Date of a page: its published-time meta tag, else its first time tag."""
-    meta = F.regexp_extract(page, r"""(?is)<meta[^>]*published_time[^>]*content=["'][^"']*?(\d{4}-\d{2}-\d{2})""", 1)
-    stamp = F.regexp_extract(page, r"(?is)<time[^>]*>?[^<]*?(\d{4}-\d{2}-\d{2})", 1)
+    meta = F.regexp_extract(page, r"""(?is)<meta[^>]*published_time[^>]*content=["'][^"']*?(\d{4}(?:-\d\d){2})""", 1)
+    stamp = F.regexp_extract(page, r"(?is)<time[^>]*>?[^<]*?(\d{4}(?:-\d\d){2})", 1)
     return F.coalesce(F.nullif(meta, F.lit("")), F.nullif(stamp, F.lit("")))
 
 
@@ -92,12 +92,12 @@ def page_notes(df: DataFrame, page: str, key: str) -> DataFrame:
     return table_function(df, page, key, lambda t: [(notes_of(t),)], "notes string")
 
 
-def reader_page(text: str) -> tuple[str, str, str]:
-    """(title, date, notes) of reader markdown: headers up to a marker, then the body."""
-    title = re.search(r"(?m)^Title:\s*(.*)$", text)
-    date = re.search(r"(?m)^Published Time:.*?(\d{4}-\d{2}-\d{2})", text)
-    body = text.split("Markdown Content:", 1)[-1]
-    for pattern, new in ((r"(?m)^#+\s*", ""), (r"\*\*", ""), (r"(?m)^\s*!\[[^\]]*\]\([^)]*\)\s*$", ""), (r"\n{3,}", "\n\n")):
+def reader_page(page: str) -> tuple[str, ...]:
+    """Title, date and notes of reader markdown: headers up to a marker, then the body."""
+    title = re.search(r"(?m)^Title:\s*(.*)$", page)
+    date = re.search(r"(?m)^Published Time:.*?(\d{4}(?:-\d\d){2})", page)
+    body = page.split("Markdown Content:", 1)[-1]
+    for pattern, new in ((r"(?m)^#+\s*", ""), (r"\*\*", ""), (r"(?m)^\s*!\[[^\]]*\]\([^)]*\)\s*$", ""), (r"\n\n\n+", "\n\n")):
         body = re.sub(pattern, new, body)
     return (title[1].strip() if title else "", date[1] if date else "", body.strip())
 
@@ -105,9 +105,8 @@ def reader_page(text: str) -> tuple[str, str, str]:
 def caption_lines(vtt: str) -> list[str]:
     """Spoken lines of WebVTT captions: no headers, cues and tags; rolling repeats once."""
     out: list[str] = []
-    for raw in vtt.splitlines():
-        line = raw.strip()
-        if not line or line.startswith(("WEBVTT", "NOTE", "STYLE", "Kind:", "Language:")) or "-->" in line or line.isdigit():
+    for line in map(str.strip, vtt.splitlines()):
+        if not line or line.isdigit() or "-->" in line or re.match("WEBVTT|NOTE|STYLE|Kind:|Language:", line):
             continue
         line = " ".join(html.unescape(re.sub(r"<[^>]*>", "", line)).split())
         line = re.sub(r"^(?:>>\s*)+", "", line).strip()
@@ -209,8 +208,8 @@ def call_model(df: DataFrame, key: str, prompt: str, model: Callable[[str], str]
             for k, p in zip(pdf[key], pdf[prompt]):
                 try:
                     rows.append((k, True, None, model(p)))
-                except Exception as e:  # noqa: BLE001 - any failure is data here
-                    rows.append((k, False, f"{type(e).__name__}: {e}", None))
+                except Exception as failure:  # noqa: BLE001 - any failure is data here
+                    rows.append((k, False, f"{type(failure).__name__}: {failure}", None))
             yield pd.DataFrame(rows, columns=[key, "ok", "error", "reply"])
 
     return df.select(key, prompt).mapInPandas(run, f"{key} {kind}, ok boolean, error string, reply string")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions.urls import LIBRARY
 from corvane.operators import canonical
 from corvane.plans import gold
 from corvane.sources import schemas
@@ -20,19 +21,19 @@ def rows(spark, ddl, *records, ordinal=True):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    notes = "See [Alpha trial](https://pubmed.ncbi.nlm.nih.gov/11111111/) and [Beta cohort](https://www.nejm.org/doi/full/10.1056/NEJMoa1) and [shop](https://www.amazon.com/x)"
+    notes = f"See [Alpha trial](https://pubmed.{LIBRARY}/11111111/) and [Beta cohort](https://evidence.nejm.org/10.1056/Beta1) and [shop](https://www.amazon.com/x)"
     episodes = rows(
         spark, schemas.EPISODES,
         dict(url="e1", title="One", date="2024-01-01", episode_number=1, show_notes=notes),
-        dict(url="e2", title="Two", date="2024-02-01", episode_number=2, show_notes="Again [Alpha](https://pubmed.ncbi.nlm.nih.gov/11111111?x=1) and [Gamma guideline](https://doi.org/10.1000/gamma)."),
+        dict(url="e2", title="Two", date="2024-02-01", episode_number=2, show_notes=f"Again [Alpha](https://pubmed.{LIBRARY}/11111111?x=1) and [Gamma guideline](https://doi.org/10.1000/gamma)."),
         dict(url="e3", title="None", date=None, episode_number=None, show_notes=None),
     )
     base = dict(episode_url="e1", episode_title="One", episode_number=1, episode_date="2024-01-01")
     mentions = rows(
         spark, schemas.MENTIONS,
-        dict(base, citation_label="Alpha 2020", paper_title="The Alpha Trial", pubmed_url="http://www.ncbi.nlm.nih.gov/pubmed/11111111", year="2020", study_type="rct", specialty_tags=["Cardiology", "junk"], context_topic="Heart"),
-        dict(base, citation_label="Alpha", paper_title="The Alpha Trial of hearts", pubmed_url="https://pubmed.ncbi.nlm.nih.gov/11111111/", year="in 2020", study_type="other", specialty_tags=["nephrology"], episode_url="e2", episode_title="Two", episode_number=2),
-        dict(base, citation_label="Delta", paper_title="n/a", pubmed_url="https://pubmed.ncbi.nlm.nih.gov/", year=None),
+        dict(base, citation_label="Alpha 2020", paper_title="The Alpha Trial", pubmed_url=f"http://www.{LIBRARY}/pubmed/11111111", year="2020", study_type="rct", specialty_tags=["Cardiology", "junk"], context_topic="Heart"),
+        dict(base, citation_label="Alpha", paper_title="The Alpha Trial of hearts", pubmed_url=f"https://pubmed.{LIBRARY}/11111111/", year="in 2020", study_type="other", specialty_tags=["nephrology"], episode_url="e2", episode_title="Two", episode_number=2),
+        dict(base, citation_label="Delta", paper_title="n/a", pubmed_url=f"https://pubmed.{LIBRARY}/", year=None),
         dict(base, citation_label="null", paper_title=" ", pubmed_url=None),
         dict(base, citation_label="Delta", year=None, study_type="cohort"),
     )
@@ -45,7 +46,7 @@ def tables(spark):
     )
     sidecar = rows(
         spark, schemas.LINK_RECORDS,
-        dict(episode_url="e1", pearl="Treat early", review_status="approved", reviewed_by="r", links=[tuple(dict(link).get(k) for k in ("canonical_key", "citation_label", "paper_title", "support", "confidence", "rationale", "review_status", "reviewed_at", "review_note")), ("pmid|11111111", "x", None, "background", "high", None, None, None, None)]),
+        dict(episode_url="e1", pearl="Treat early", review_status="approved", reviewed_by="r", links=[tuple(dict(link).get(k) for k in "canonical_key citation_label paper_title support confidence rationale review_status reviewed_at review_note".split()), ("pmid|11111111", "x", None, "background", "high", None, None, None, None)]),
         dict(episode_url="e1", pearl="Treat early and often", review_status="approved", reviewed_by=None, links=[("pmid|11111111", "x", None, "direct", "high", None, None, None, None)]),
     )
     feedback = rows(spark, schemas.FEEDBACK, dict(id=1, target_type="pearl", pearl_key="treat early", reason_code="outdated", review_status="approved"), dict(id=2, target_type="pearl", pearl_key="treat early", reason_code="outdated", review_status="approved"), dict(id=3, target_type="pearl", pearl_key="treat early", reason_code="unclear", review_status="pending"))
@@ -73,7 +74,7 @@ def test_show_note_merge_is_asymmetric(tables):
     links = canonical.show_note_links(episodes)
     records = canonical.match_show_notes(canonical.show_note_evidence(links), evidence)
     by_key = {r.evidence_key: r for r in records.collect()}
-    assert set(by_key) == {"pmid|11111111", "doi|10.1056/nejmoa1", "doi|10.1000/gamma"}
+    assert set(by_key) == {"pmid|11111111", "doi|10.1056/beta1", "doi|10.1000/gamma"}
     assert by_key["pmid|11111111"].canonical_key == "pmid|11111111" and by_key["pmid|11111111"].link_count == 2
     merged = {r.canonical_key: r for r in canonical.merge_show_notes(evidence, records.drop("canonical_key"), links).collect()}
     assert merged["pmid|11111111"].show_note_link_count == 1  # one URL, though linked twice

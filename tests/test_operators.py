@@ -97,7 +97,8 @@ def test_batch_files(spark, tmp_path):
     manifest = files.write_requests(df, str(tmp_path / "req"), F.struct("episode_url", "n"), ["prompt"])
     ids = {(r.episode_url, r.n): r.custom_id for r in manifest.collect()}
     assert ids == {("u1", 0): "req-00000", ("u2", 0): "req-00001", ("u2", 1): "req-00002"}
-    lines = [json.dumps({"custom_id": i, "response": {"body": {"choices": [{"message": {"content": "[]"}}]}}}) for i in ("req-00000", "req-00001", "req-00009")]
+    reply = dict(body=dict(choices=[dict(message=dict(content="[]"))]))
+    lines = [json.dumps(dict(custom_id=i, response=reply)) for i in ("req-00000", "req-00001", "req-00009")]
     (tmp_path / "out.jsonl").write_text("\n".join(lines))
     got, unknown = files.read_results(spark, str(tmp_path / "out.jsonl"), manifest)
     assert [r.custom_id for r in unknown.collect()] == ["req-00009"]

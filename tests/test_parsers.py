@@ -120,7 +120,7 @@ def test_object_repair():
 
 
 def test_link_reply(spark):
-    reply = json.dumps({"linksets": [{"linksetdbs": [{"dbto": "pmc", "linkname": "other", "links": ["1"]}, {"dbto": "pmc", "linkname": "pubmed_pmc", "links": ["2", "3"]}]}]})
+    reply = json.dumps({"linksets": [{"linksetdbs": [dict(dbto="pmc", linkname=n, links=x.split()) for n, x in (("other", "1"), ("pubmed_pmc", "2 3"))]}]})
     rows = spark.createDataFrame([(reply,), ("{}",), ("x",)], "r string").select(markup.linked_article(F.col("r")).alias("v")).collect()
     assert [r.v for r in rows] == ["2", None, None]
 
