@@ -21,7 +21,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or pd.isna(v):
             return "null"
         return f"{float(v):.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
