@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,25 @@ class Catalog:
         return add
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where only ``sys.path`` of the driver knows it.
+
+    On a cluster the package is shipped with ``--py-files``.
+    """
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+
+
 class Tables:
     """Reads tables by name, as attributes: ``t.orders``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
