@@ -1,16 +1,19 @@
-"""Operator 3, benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
-
-Word n-grams of the test items are the seeds. A first pass over all documents
-counts how many hold each seed; those held by few, and each item's rarest in
-any case, join passages to items in the second pass. Every joined (document,
-item) pair is aligned in full: a local alignment of words (match +2, mismatch
--1, gap -1) between the item and the stretch of text around the seed. The
-share of the best possible score decides; edited or partly reworded copies
-lose some of it, chance hits nearly all.
-
-Both passes are map-only over the corpus; the benchmark side is a broadcast of
+"""Operator 3, benchmark decontamination: n-gram seeds, then Smith-Waterman.
+
+All word n-grams of the test items are seeds, however many documents hold them:
+an item that was copied often has no rare ones, and its shortened or edited
+copies hold just some of them. Each (document, item) pair that shares a seed is
+a candidate: a local alignment of words (match +2, mismatch -1, gap -1) between
+the item and the stretch of text around the seed. The share of the best possible
+score decides; edited or partly reworded copies lose some of it, chance hits
+nearly all. Most candidates are chance hits on common n-grams. They go by an upper bound
+of the score, from which words of the item the stretch has at all, so nothing
+that reaches ``min_score`` is lost to it. What shares no n words in a row with an
+item isn't found.
+
+The pass is map-only over the corpus; the benchmark side is a broadcast of
 checked size. Beyond ``max_items_words`` words, the benchmark is cut in slices
-and the passes repeat for each, so nothing is dropped and no executor holds
+and the pass repeats for each, so nothing is dropped and no executor holds
 more than one slice.
 
 Defined results: null and word-less items and documents match nothing. An item
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 @dataclass(frozen=True)
 class DecontamParams:
     n: int = 3  #: words in a seed
-    rare_share: float = 2e-4  #: a seed is rare if at most this share of the documents holds it
-    rare_docs: int = 20  #: ... or at most so many documents
-    least_seeds: int = 6  #: an item's rarest seeds are used however common they are
     min_score: float = 0.45  #: share of the best alignment score from which a document is contaminated; chance hits stay below 0.36
     slack: float = 0.5  #: text beyond both ends of the expected place, in item lengths
     max_items_words: int = 4_000_000
+    chunk: int = 500_000  #: candidates handled at once, in whole documents
 
 
 @dataclass
@@ -57,6 +59,17 @@ class Bench:
     seed_item: np.ndarray
     seed_at: np.ndarray
 
+    @cached_property
+    def size(self) -> np.ndarray:
+        return np.array([len(x) for x in self.words], np.int64)
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        """Distinct words; distinct (item, word) pairs, each item's first one, and the pair of each word."""
+        vocabulary, of_word = np.unique(np.concatenate(self.words), return_inverse=True)
+        pairs, pair = np.unique(np.repeat(np.arange(len(self.size)), self.size) * len(vocabulary) + of_word, return_inverse=True)
+        return vocabulary, pairs, np.searchsorted(pairs, np.arange(len(self.size) + 1) * len(vocabulary)), pair
+
 
 def _bench(column: pa.Array, ids: list, n: int) -> Bench:
     w = k.Words(column)
@@ -115,7 +128,7 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def _windows(words: k.Words, bench: Bench, at: np.ndarray, rows: np.ndarray, slack: float) -> tuple[np.ndarray, ...]:
     """(document, item, from, to) of the stretches to align; overlapping ones of a pair are joined."""
     item = bench.seed_item[rows]
-    length = np.array([len(x) for x in bench.words])[item]
+    length = bench.size[item]
     pad = np.ceil(length * slack).astype(np.int64) + 2
     doc = words.doc[at]
     low = np.maximum(at - bench.seed_at[rows] - pad, words.first[doc])
@@ -134,9 +147,52 @@ def _windows(words: k.Words, bench: Bench, at: np.ndarray, rows: np.ndarray, sla
     return doc[begin], item[begin], low[begin], np.maximum.reduceat(high, begin)
 
 
-def _aligned(words: k.Words, bench: Bench, at: np.ndarray, rows: np.ndarray, slack: float) -> tuple[np.ndarray, ...]:
-    """(document, item, score share) of each stretch."""
+def _bounds(words: k.Words, bench: Bench, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Upper bound of the alignment score of each stretch.
+
+    An alignment covers some run of the item's words; those that the stretch has give at
+    most MATCH, each other one costs a mismatch or a gap. The best run is the bound.
+    """
+    out = np.zeros(len(item), np.int64)
+    if not len(item):
+        return out
+    size = bench.size
+    start = np.cumsum(size) - size
+    vocabulary, pairs, first, pair = bench.pairs
+    number = np.searchsorted(vocabulary, words.hash)
+    number[vocabulary[np.minimum(number, len(vocabulary) - 1)] != words.hash] = -1
+    load = np.cumsum(high - low + size[item])
+    cuts = np.flatnonzero(np.diff(load // 2_000_000)) + 1  # of some 2 million words each
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(item)]):
+        it, width = item[a:b], (high - low)[a:b]
+        of = np.repeat(np.arange(b - a), width)
+        no = number[np.repeat(low[a:b] - np.cumsum(width) + width, width) + np.arange(len(of))]
+        of, no = of[no >= 0], no[no >= 0]
+        key = it[of] * len(vocabulary) + no
+        j = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        hit = pairs[j] == key
+        many = first[it + 1] - first[it]
+        at = np.cumsum(many) - many
+        held = np.zeros(int(many.sum()), bool)
+        held[(at - first[it])[of[hit]] + j[hit]] = True
+        # gain of each word of each stretch's item, and the best sum of a run of them
+        length = size[it]
+        of = np.repeat(np.arange(b - a), length)
+        place = np.repeat(start[it] - np.cumsum(length) + length, length) + np.arange(len(of))
+        gain = np.where(held[(at - first[it])[of] + pair[place]], MATCH, max(MISMATCH, GAP))
+        total = np.cumsum(gain)
+        # the least sum before a run, kept apart between stretches by a falling base
+        base = of * (4 * MATCH * len(of) + 1)
+        run = total - base - np.minimum.accumulate(total - gain - base)
+        out[a:b] = np.maximum(np.maximum.reduceat(run, np.cumsum(length) - length), 0)
+    return out
+
+
+def _aligned(words: k.Words, bench: Bench, at: np.ndarray, rows: np.ndarray, slack: float, least: float) -> tuple[np.ndarray, ...]:
+    """(document, item, score share) of each stretch that may reach the share ``least``."""
     doc, item, low, high = _windows(words, bench, at, rows, slack)
+    some = np.flatnonzero(_bounds(words, bench, item, low, high) >= least * MATCH * bench.size[item] - 1e-6)
+    doc, item, low, high = doc[some], item[some], low[some], high[some]
     share = np.zeros(len(doc))
     order = np.lexsort((high - low, item))
     cuts = np.flatnonzero(np.diff(item[order])) + 1
@@ -180,39 +236,7 @@ def _search(spark, src: DataFrame, bench: Bench, p: DecontamParams, kind: str, i
     if not len(bench.seeds):
         return spark.createDataFrame([], schema)
     sizes = sorted({min(p.n, len(x)) for x in bench.words if len(x)})
-    distinct = np.unique(bench.seeds)
-    held = spark.sparkContext.broadcast((distinct, sizes))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct, sizes = held.value
-        bits = _lookup(distinct)
-        found, n_docs = np.zeros(len(distinct), np.int64), 0
-        for batch in batches:
-            for part in k.slices(batch, "text"):
-                words = k.Words(part.column("text"))
-                n_docs += words.n_docs
-                at, which = _hits(words, distinct, bits, sizes)
-                both = np.unique(words.doc[at] * len(distinct) + which)
-                found += np.bincount(both % len(distinct), minlength=len(distinct))
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n_docs, found[some]])], ["seed", "n"])
-
-    # one row per seed of the benchmark at most, whatever the size of the corpus
-    counts = src.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    seed, n = counts.column("seed").to_numpy(), counts.column("n").to_numpy()
-    n_docs = int(n[seed == -1].sum())
-    df = np.zeros(len(distinct), np.int64)
-    df[seed[seed >= 0]] = n[seed >= 0]
-    of_row = df[np.searchsorted(distinct, bench.seeds)]
-    order = np.lexsort((bench.seed_at, of_row, bench.seed_item))
-    first = np.searchsorted(bench.seed_item[order], bench.seed_item[order])
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order)) - first
-    use = (of_row > 0) & ((of_row <= max(p.rare_docs, p.rare_share * n_docs)) | (place < p.least_seeds))
-    chosen = Bench(bench.ids, bench.words, bench.seeds[use], bench.seed_item[use], bench.seed_at[use])
-    if not use.any():
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((chosen, sizes))
+    shared = spark.sparkContext.broadcast((bench, sizes))
     ids_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +250,22 @@ def _search(spark, src: DataFrame, bench: Bench, p: DecontamParams, kind: str, i
                 at, which = _hits(words, distinct, bits, sizes)
                 if not len(at):
                     continue
-                repeat = many[which]  # a seed may be in several places of several items
-                total = np.cumsum(repeat)
-                rows = np.arange(total[-1]) - np.repeat(total - repeat, repeat) + np.repeat(begin[which], repeat)
-                doc, item, share = _aligned(words, bench, np.repeat(at, repeat), rows, p.slack)
-                ok = share >= p.min_score
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[ok])), ids.take(pa.array(item[ok])), pa.array(share[ok])], ["doc_id", "item_id", "score"])
+                order = np.argsort(at, kind="stable")
+                at, which = at[order], which[order]
+                # candidates of whole documents, so that the stretches of a pair stay together
+                load = np.cumsum(np.bincount(words.doc[at], many[which], words.n_docs)).astype(np.int64)
+                ends = np.r_[np.flatnonzero(np.diff(load // p.chunk)), words.n_docs - 1] + 1
+                cuts = np.searchsorted(words.doc[at], ends)
+                for a, b in zip([0, *cuts.tolist()], cuts.tolist()):
+                    if a == b:
+                        continue
+                    repeat = many[which[a:b]]  # a seed may be in several places of several items
+                    total = np.cumsum(repeat)
+                    rows = np.arange(total[-1]) - np.repeat(total - repeat, repeat) + np.repeat(begin[which[a:b]], repeat)
+                    doc, item, share = _aligned(words, bench, np.repeat(at[a:b], repeat), rows, p.slack, p.min_score)
+                    ok = share >= p.min_score
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[ok])), ids.take(pa.array(item[ok])), pa.array(share[ok])], ["doc_id", "item_id", "score"])
 
     return src.mapInArrow(search, schema)
 

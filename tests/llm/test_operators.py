@@ -205,6 +205,30 @@ def test_leaks_match_full_alignment(spark, small):
     assert {(r.doc_id, r.item_id) for r in sliced.collect()} == set(got)  # few enough words a slice for many passes
 
 
+def test_leaks_of_items_copied_often(spark):
+    rng = random.Random(6)
+    item = words(rng, 38).split()
+    cut, edited = item[10:], [x if i % 4 else "changed" for i, x in enumerate(item)]
+    texts = [item] * 2000 + [cut] * 25 + [item[:24]] * 25 + [edited] * 10 + [words(rng, 40).split() + item[:3]] * 10
+    docs = spark.createDataFrame([(i, " ".join(["words", "before", *t, "and", "after"])) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    scores = {tuple(t): smith_waterman(brute.words(" ".join(item)), brute.words("words before " + " ".join(t) + " and after")) / (2 * len(item)) for t in map(tuple, texts)}
+    want = {i: round(scores[tuple(t)], 6) for i, t in enumerate(texts) if scores[tuple(t)] >= 0.45}
+    assert len(want) == 2060
+    for more in ({}, {"chunk": 50}):
+        assert {r.doc_id: round(r.score, 6) for r in decontam.find_leaks(docs, bench, decontam.DecontamParams(**more)).collect()} == want
+
+
+def test_bound_is_never_below_the_score():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    w, bench = k.Words(pa.array(texts)), decontam._bench(pa.array(texts[:20]), list(range(20)), 3)
+    item, doc = (x.ravel() for x in np.meshgrid(np.arange(20), np.arange(60)))
+    bound = decontam._bounds(w, bench, item, w.first[doc], w.first[doc + 1])
+    score = [smith_waterman(texts[i].split(), texts[d].split()) for i, d in zip(item, doc)]
+    assert (bound >= score).all() and (bound[item == doc] == np.array(score)[item == doc]).all()
+
+
 def test_leaks_on_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, odd_rows()[0][1]), (2, None), (3, ""), (None, "null id"), (4, "one"), (1, "twice the id")], "item_id int, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(odd, bench).collect()}
