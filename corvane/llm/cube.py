@@ -1,7 +1,11 @@
 """Operator 10, mixing sources to target weights: balanced sampling by the cube method.
 
 Each source gets one inclusion probability, so that the expected token shares of
-the sample are the target weights. The cube method then turns probabilities
+the sample are the target weights. The sample is the largest in which sources
+too small for their weights miss at most ``miss`` of it together, and has at least
+the share ``keep`` of the tokens; so a tiny source, as of mistyped or null names,
+doesn't thin the others. A source that is too small is taken whole, and what it
+lacks is shared among the others by their weights. The cube method then turns probabilities
 into a 0/1 sample that keeps both totals, documents and tokens, of every
 source: a unit's fractional value moves along the null space of the two
 balancing constraints, by a random step of mean 0, until it lands on 0 or 1.
@@ -37,7 +41,9 @@ EDGE = 1e-9
 class MixParams:
     weights: dict | None = None  #: source -> target share of tokens; None: by the power ``alpha`` of its tokens
     alpha: float = 0.5
-    rate: float = 1.0  #: sample size, as a share of the largest that the weights allow
+    rate: float = 1.0  #: sample size, as a share of the largest that ``miss`` and ``keep`` allow
+    miss: float = 0.01  #: share of the sample that sources may fall short of their weights together
+    keep: float | None = None  #: least share of the tokens, at rate 1, whatever is missed; None: 0.5 for weights by ``alpha``, 0 for given ones
     block: int = 2048  #: units in a block of the flight phase
     seed: int = 13
 
@@ -97,12 +103,26 @@ def land(x: np.ndarray, n: np.ndarray, t: np.ndarray, pi: np.ndarray, rng: np.ra
 
 
 def inclusion(tokens: dict, params: MixParams) -> dict:
-    """Inclusion probability of each source. The largest one is ``rate``."""
+    """Inclusion probability of each source: in proportion to weight per token, but 1 for sources too small for their weight."""
     p = params
     weights = {s: (n**p.alpha if n else 0.0) for s, n in tokens.items()} if p.weights is None else {s: max(0.0, float(p.weights.get(s, 0))) for s in tokens}
-    ratio = {s: weights[s] / n for s, n in tokens.items() if n}
-    top = max(ratio.values(), default=0.0)
-    return {s: (p.rate * ratio[s] / top if top else 0.0) if n else 1.0 for s, n in tokens.items()}
+    keep = (0.5 if p.weights is None else 0.0) if p.keep is None else p.keep
+    live = sorted((s for s, n in tokens.items() if n and weights[s]), key=lambda s: tokens[s] / weights[s])
+    out = {s: 0.0 if n else 1.0 for s, n in tokens.items()}
+    whole, total = float(sum(tokens[s] for s in live)), sum(weights[s] for s in live)
+    # the sources that fall short are the first ones; at size x they miss weight / total - tokens / x
+    size, weight, held = whole, 0.0, 0.0
+    for s in live:
+        weight, held = weight + weights[s], held + tokens[s]
+        if weight / total > p.miss:
+            size = min(size, held / (weight / total - p.miss))
+    size = p.rate * max(size, keep * whole)
+    for s in live:
+        share = size * weights[s] / (total * tokens[s])
+        out[s] = min(1.0, share)
+        if share >= 1:
+            size, total = size - tokens[s], total - weights[s]
+    return out
 
 
 def word_count(text) -> F.Column:

@@ -454,6 +454,34 @@ def test_mixture_hits_its_weights(spark):
     assert set(again[again.selected].doc_id) == set(taken.doc_id)
 
 
+def test_tiny_and_null_sources_do_not_set_the_size(spark):
+    big = {"a": 900_000, "b": 600_000, "c": 400_000}
+    before = cube.inclusion(big, cube.MixParams())
+    for tiny in ({None: 10}, {"mistyped": 10, None: 3, "": 0}):
+        pi = cube.inclusion(big | tiny, cube.MixParams())
+        assert all(pi[s] == 1 for s in tiny) and all(abs(pi[s] - before[s]) < 0.01 for s in big)
+    # many small sources beside a hot one: at least half of the tokens, small sources whole
+    many = {i: 100 for i in range(1000)} | {"hot": 900_000}
+    pi = cube.inclusion(many, cube.MixParams())
+    assert abs(sum(pi[s] * n for s, n in many.items()) - 500_000) < 1 and pi[0] == 1
+    # the shortfall goes to the others by their weights; given weights hold but for ``miss``
+    pi = cube.inclusion({"a": 1000, "b": 1000, "c": 10}, cube.MixParams(weights={"a": 0.3, "b": 0.2, "c": 0.5}, keep=0.5))
+    assert pi["c"] == 1 and abs(pi["a"] / pi["b"] - 1.5) < 1e-9 and abs(pi["a"] * 1000 + pi["b"] * 1000 - 995) < 1e-6
+    given = {"a": 0.5, "b": 0.25, "c": 0.25}
+    pi = cube.inclusion(big, cube.MixParams(weights=given))
+    size = sum(pi[s] * n for s, n in big.items())
+    assert sum(max(0, w - pi[s] * big[s] / size) for s, w in given.items()) <= 0.01 + 1e-9
+    assert cube.inclusion({"a": 10, "b": 5}, cube.MixParams(alpha=1.0)) == {"a": 1.0, "b": 1.0}
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    odd = spark.createDataFrame([(-1, "one two three", None), (-2, "four five six seven", "mistyped")], docs.schema)
+    got = cube.mix_sources(docs.unionByName(odd)).toPandas()
+    plain = cube.mix_sources(docs).toPandas()
+    kept, was = ((x.n_tokens * x.selected).sum() / x.n_tokens.sum() for x in (got, plain))
+    assert kept > 0.5 and abs(kept - was) < 0.02
+    assert got[got.doc_id < 0].selected.all()
+
+
 def test_mixing_on_odd_rows(odd, empty):
     got = cube.mix_sources(odd, cube.MixParams(rate=0.5)).collect()
     assert len(got) == odd.count()
