@@ -37,6 +37,10 @@ class LineParams:
     seed: int = 5
 
 
+#: Near copies, those of short lines too: a changed word takes its length + n - 1 shingles along, at 8 bytes too many of a line under 120.
+NEAR = LineParams(n=5)
+
+
 def char_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, offsets): 32-bit hashes of the byte windows of each line, none across lines."""
     data, offsets = k.buffers(k.strings(column, lower=False))

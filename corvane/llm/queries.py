@@ -51,7 +51,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), line_dedup.NEAR)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

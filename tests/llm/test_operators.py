@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import cube, debruijn, decontam, line_crf, line_dedup, ngram_join, quality, sharding, suffix, toxicity
+from corvane.llm import cube, debruijn, decontam, line_crf, line_dedup, ngram_join, quality, queries, sharding, suffix, toxicity
 from corvane.llm import kernel as k
 from corvane.llm.common import prepare
 from corvane.llm.components import connected_components
@@ -389,6 +389,18 @@ def test_lines_match_brute_force(small):
     assert sum(got[x] == want[x] for x in got) >= 0.97 * len(got)
 
 
+def test_short_lines_with_a_small_change(spark, small, tmp_path):
+    lines = ["copyright 1998 by the writers, all rights kept .", "Copyright 1975 by the writers, all rights kept .", "copyright 1997 by the writers, all rights kept .", "printed in another town by somebody else in 1998"]
+    lines += ["the meeting of the town council begins at nine in the old hall", "the meeting of the town council begins at eight in the old hall"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.keep_doc_id) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0), (2, 0), (5, 4)}
+    want = brute.duplicate_lines([(r.doc_id, r.text) for r in small.collect()], 5, 0.7)
+    got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in queries.op9_line_dedup(spark, SF).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+
+
 def test_lines_on_odd_rows(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in line_dedup.duplicate_lines(odd).collect()}
