@@ -48,7 +48,8 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Toxicity, alignment and balanced sampling can't be put in SQL; tests/llm compares each stage with a plain version.
+#: Toxicity, alignment and balanced sampling can't be put in SQL. Of the stages, tests/llm/test_pipeline.py compares near copies and sharding
+#: with plain versions, the others with their operators alone; alignment and mixing have plain checks in tests/llm/test_operators.py.
 ORACLE_SQL = None
 
 
