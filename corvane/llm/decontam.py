@@ -271,6 +271,11 @@ def _search(spark, src: DataFrame, bench: Bench, p: DecontamParams, kind: str, i
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, params: DecontamParams = DecontamParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a copy of a test item, all their columns; null ids stay."""
-    bad = find_leaks(docs, bench, params, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    """The documents without a copy of a test item, all their columns.
+
+    Texts decide, by their hash: rows with a null id are judged too, and of an id with
+    several texts only those that hold a copy go.
+    """
+    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    bad = find_leaks(keyed, bench, params, "key", "text").select("doc_id").distinct()
+    return docs.join(bad, F.xxhash64(docs[text_col]) == bad["doc_id"], "left_anti").select(*docs.columns)

@@ -239,6 +239,13 @@ def test_leaks_on_odd_rows(spark, odd, empty):
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} >= {None, 4, 5, 6, 7}
 
 
+def test_leaks_of_null_ids_and_shared_ids_go(spark):
+    item = odd_rows()[0][1]
+    docs = spark.createDataFrame([(None, item), (None, "clean words"), (1, "before " + item), (1, "clean words too"), (2, None)], "doc_id long, text string")
+    left = decontam.drop_leaks(docs, spark.createDataFrame([(1, item)], "item_id int, text string"))
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(None, "clean words"), (1, "clean words too"), (2, None)} and left.count() == 3
+
+
 # --- 4: sharding ---------------------------------------------------------------------------------------
 
 
