@@ -56,17 +56,21 @@ def adjudicate_links(rows: DataFrame, links: str, selector, verb: str, at: str,
 def containment(docs: DataFrame, text: str, quotes: DataFrame, quote: str, most_bytes: int = 64 << 20) -> DataFrame:
     """Pairs whose normalised text holds the normalised quote.
 
-    A quote's first words block the search: the words at every place of a text are
-    compared by an equi-join, ``contains`` settles the rest. While the quotes are
+    A quote's first 15 characters block the search, or all of a shorter one: the characters
+    at every place of a text are compared by an equi-join, ``contains`` settles the rest. While the quotes are
     few (their bytes are counted first) they are broadcast and no text is shuffled.
     """
     size = quotes.agg(F.sum(F.octet_length(quote))).first()[0] or 0
     if size <= most_bytes:
         return docs.join(F.broadcast(quotes), F.contains(docs[text], quotes[quote]))
-    head = F.substring(quote, 1, 15)
-    blocked = quotes.withColumn("_head", head)
-    shingled = docs.withColumn("_head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 14, F.lit(1))), lambda i: F.substring(F.col(text), i, 15)))))
-    return shingled.join(blocked, "_head").where(F.contains(F.col(text), F.col(quote))).drop("_head").distinct()
+    blocked = quotes.withColumn("_head", F.substring(quote, 1, 15))
+    lengths = sorted(r[0] for r in blocked.where(F.col("_head").isNotNull()).select(F.length("_head")).distinct().collect())  # 16 at most
+    places = lambda n: F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    cut = lambda n: F.transform(places(n), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    windows = [cut(n) for n in lengths]
+    # each head of a text once, so that rows keep their number
+    shingled = docs.withColumn("_head", F.explode(F.array_distinct(F.concat(*windows))) if windows else F.lit(None).cast("string"))
+    return shingled.join(blocked, "_head").where(F.contains(F.col(text), F.col(quote))).drop("_head")
 
 
 def verify_links(links: DataFrame, pool: DataFrame, on: Column, support: str, supports: Sequence[str], confidence: str, confidences: Sequence[str]) -> DataFrame:

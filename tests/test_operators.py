@@ -56,6 +56,13 @@ def test_containment_has_the_same_rows_either_way(spark):
     assert small == large == [(1, 1)]
 
 
+def test_short_quotes_and_repeated_rows_in_blocks(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (1, "the quick brown fox jumps over it"), (2, "fox"), (3, None), (4, "a fox and a fox")], "d int, t string")
+    quotes = spark.createDataFrame([(1, "fox"), (2, "quick brown"), (3, "the quick brown fox"), (4, ""), (5, None), (1, "fox")], "q int, s string")
+    small, large = (sorted((r.d, r.q) for r in review.containment(docs, "t", quotes, "s", most_bytes=n).select("d", "q").collect()) for n in (1 << 20, 0))
+    assert small == large and large.count((1, 1)) == 4 and (2, 1) in large
+
+
 def test_recovery_score(spark):
     df = spark.createDataFrame([("The Alpha Trial of Everything", "Doe 2020", "hearts", "The alpha trial of everything!", "https://x.y/a"), (None, None, None, "https://x.y/a", "https://x.y/a"), ("Different", "Roe", None, "Other label", "https://x.y")], "t string, l string, c string, ll string, lu string")
     cols = [F.col(c) for c in ("t", "l", "c", "ll", "lu")]
