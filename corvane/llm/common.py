@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of keys that a filter broadcasts at most. Beyond them it shuffles, with the same result.
+BROADCAST_BYTES = 64 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -84,3 +88,36 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def by_keys(docs: DataFrame, held: Stored, keys: Mapping[str, Column], how: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of ``docs`` with (``left_semi``) or without (``left_anti``) a partner in ``held``; nulls equal nulls.
+
+    ``keys``: column of ``held`` -> expression over ``docs``. The keys' bytes are measured: up to ``most``
+    they are broadcast and no text is shuffled, beyond it both sides are; the rows are the same.
+    """
+    names = {c: fresh(docs, f"held_{c}") for c in keys}
+    size = held.df.agg(F.count("*").alias("n"), *[F.sum(F.octet_length(F.col(c).cast("string"))).alias(c) for c in keys]).first()
+    if not size["n"]:
+        return docs if how == "left_anti" else docs.limit(0)
+    side = held.df.select(*[F.col(c).alias(n) for c, n in names.items()])
+    few = size["n"] * 48 + sum(size[c] or 0 for c in keys) <= most
+    same = reduce(lambda a, b: a & b, [x.eqNullSafe(F.col(names[c])) for c, x in keys.items()])
+    return docs.join(F.broadcast(side) if few else side.hint("merge"), same, how)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, rows: int, size: int, id_col: str, text_col: str, pick: Callable = F.min) -> DataFrame:
+    """(doc_id, y, text) of labelled documents: of each class at most ``rows``, which begin within ``size`` bytes of text.
+
+    ``label``: the class, as an expression over the labels. Ids are taken in the order of their hash. An id counts once,
+    with the text of least hash if it has several, so neither repeated rows nor long texts make the sample larger.
+    Whole texts only. Of several labels of an id ``pick`` counts; null ids, labels and texts don't count.
+    """
+    one = labels.select(F.col(id_col).alias("doc_id"), label.alias("y")).dropna().groupBy("doc_id").agg(pick("y").alias("y"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picks = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).drop("rank")
+    # the chosen ids are bounded by ``rows``, whatever the size of the corpus
+    found = texts(docs, id_col, text_col).where("text is not null").join(F.broadcast(picks), "doc_id")
+    once = found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    before = F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.octet_length("text")
+    return once.withColumn("before", before).where(F.col("before") < size).drop("before")

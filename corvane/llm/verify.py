@@ -14,28 +14,28 @@ from corvane.llm import kernel as k
 from corvane.llm.common import Stored
 
 
-def verified_pairs(pairs: DataFrame, src: DataFrame, sets_of: Callable, threshold: float, tile: int = 512, dtype: type = np.uint64, connect: bool = False) -> DataFrame:
+def verified_pairs(pairs: DataFrame, attach: Callable, sizes: DataFrame, sets_of: Callable, threshold: float, tile: int = 512, tile_size: int = 2_000_000, dtype: type = np.uint64, connect: bool = False) -> DataFrame:
     """(a, b, jaccard) of the pairs (a, b) whose sets reach the threshold.
 
-    ``src``: (id, text). ``sets_of(column)``: (row, element of ``dtype``) of a column's sets, in order of rows.
+    ``attach(lists)``: the rows (d, keys) of ``lists`` with the text of d, as (id, text, keys); several texts
+    of one id all count. ``sizes``: (id, size), elements of each set, about. ``sets_of(column)``: (row, element
+    of ``dtype``) of a column's sets, in order of rows.
     ``connect``: only what connects the same sets is wanted; a block's own union-find skips
     pairs that pairs before them connect, and leaves a spanning forest of its part of the graph.
-    Every set goes once to each block that its pairs are in, cut in tiles of ``tile`` sets.
+    Every set goes once to each block that its pairs are in, cut in tiles of ``tile`` sets and ``tile_size`` elements.
     """
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
     of = lambda x: label.select(F.col("a").alias(x), F.col("label").alias(f"l{x}"))
     blocks = Stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("la", "lb").alias("block")), "blocks")
-    held = blocks.df.select("block", F.col("a").alias("d")).unionByName(blocks.df.select("block", F.col("b").alias("d"))).distinct()
-    tiles = held.groupBy("block").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    held = blocks.df.select("block", F.col("a").alias("id")).unionByName(blocks.df.select("block", F.col("b").alias("id"))).distinct()
+    tiles = held.join(sizes, "id").groupBy("block").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / tile_size)).alias("tiles"))
     cut = lambda d: F.pmod(F.xxhash64(d), F.col("tiles"))
     tiled = blocks.df.join(tiles, "block").withColumn("ta", cut("a")).withColumn("tb", cut("b"))
     keyed = Stored(tiled.select(F.xxhash64("block", F.least("ta", "tb"), F.greatest("ta", "tb")).alias("key"), "a", "b"), "keyed")
     blocks.drop()
     need = keyed.df.select("key", F.col("a").alias("d")).unionByName(keyed.df.select("key", F.col("b").alias("d"))).distinct()
-    lists = need.groupBy("d").agg(F.collect_list("key").alias("keys"))
-    # texts are always shuffled: the same plan, and the same cost per byte, at every size
-    found = src.hint("merge").join(lists, src["id"] == lists["d"]).select("id", "text", "keys")
+    found = attach(need.groupBy("d").agg(F.collect_list("key").alias("keys"))).select("id", "text", "keys")
 
     width = np.dtype(dtype).itemsize
 
