@@ -1,29 +1,40 @@
 """Operator 9, line dedup: fuzzy lines by MinHash of character shingles.
 
-Lines are trimmed, put in lower case and collapse by hash first, so the rest
+Lines are trimmed, put in lower case and collapse by a 128-bit hash first, so the rest
 works on distinct lines. Their character shingles are MinHashed; a high-recall
 banding gives candidates, exact Jaccard of the whole shingle sets verifies
 them, distributed union-find joins what is left, and of each component only
 its first line (lowest document id, then line number) stays.
 
+Bands share signature values, two bands one value at most: as many bands cost fewer hashes.
+A band bucket gives a star of edges and not all its pairs; 32 bits of the signature tell which
+members are likely. Buckets whose star leaves members apart, before or after verification,
+are opened again: those members are compared with all others of the bucket, so the
+components are those of all candidate pairs.
+
 Defined results: null and empty texts have no lines; blank lines are never
 duplicates. A line shorter than a shingle is one shingle, all of it. Rows with
 a null id are left out of the result and of the search. Repeated rows of one id
-count as one document, so their lines aren't copies of each other.
+count as one document, so their lines aren't copies of each other. Ids may be of
+any atomic type and should name one text each: of an id with several texts, a line number means that line of each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import kernel as k
-from corvane.llm.common import Stored, texts
+from corvane.llm.common import Stored, fresh, texts
 from corvane.llm.components import connected_components
 from corvane.llm.verify import verified_pairs
 
@@ -32,14 +43,44 @@ from corvane.llm.verify import verified_pairs
 class LineParams:
     n: int = 8  #: bytes in a shingle
     threshold: float = 0.7
-    bands: int = 20
-    rows: int = 5  #: 20 bands of 5 find a pair at 0.7 with probability 0.975, at 0.8 with 0.9996
+    bands: int = 24  #: an even number
+    rows: int = 5  #: 24 bands of 5, each value in two of them, find a pair at 0.7 with probability 0.974, at 0.8 with 0.999
+    tolerance: float = 0.002  #: probability that a pair at the threshold differs in too many bits of its sketch
+    partition: int = 64 << 20  #: bytes of band rows in a partition
     seed: int = 5
 
+    def __post_init__(self):
+        if self.bands % 2 or self.bands // 2 < self.rows:
+            raise ValueError("bands must be even and twice rows at least")
+
+    @property
+    def values(self) -> int:
+        return self.bands // 2 * self.rows
+
+    def value(self, band: int, row: int) -> int:
+        """Which signature value: rows of a grid, then its diagonals, so that two bands share one value at most."""
+        half = self.bands // 2
+        return (band % half + (row if band >= half else 0)) % half * self.rows + row
+
+    @property
+    def most_bits(self) -> int:
+        """Differing sketch bits up to which a pair is a candidate."""
+        p, lost = (1 - self.threshold) / 2, 0.0
+        for d in range(32, -1, -1):
+            lost += comb(32, d) * p**d * (1 - p) ** (32 - d)
+            if lost > self.tolerance:
+                return d
+        return 0
+
 
 #: Near copies, those of short lines too: a changed word takes its length + n - 1 shingles along, at 8 bytes too many of a line under 120.
 NEAR = LineParams(n=5)
 
+#: Lines that a task remembers; when there are more it forgets those seen once.
+REMEMBERED = 400_000
+#: Members of a band bucket in one row of the table of buckets.
+LIST = 4096
+
 
 def char_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, offsets): 32-bit hashes of the byte windows of each line, none across lines."""
@@ -87,21 +128,28 @@ def char_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.r_[at, total]
 
 
-def line_keys(column: pa.Array, p: LineParams) -> np.ndarray:
-    """Band keys (lines x bands) of non-empty lines."""
+def line_keys(column: pa.Array, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, lines x bands; sketches of 32 bits) of non-empty lines."""
     rng = np.random.default_rng(p.seed)
-    mult = rng.integers(0, 1 << 31, p.bands * p.rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    mult = rng.integers(0, 1 << 31, p.values, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     x, offsets = char_shingles(column, p.n)
     start = offsets[:-1]
-    keys = np.empty((len(column), p.bands), np.uint64)
+    value = np.empty((p.values, len(column)), np.uint32)
     scaled = np.empty_like(x)
+    for v in range(p.values):
+        # odd multipliers permute the hashes
+        np.minimum.reduceat(np.multiply(x, mult[v], out=scaled), start, out=value[v])
+    keys = np.empty((len(column), p.bands), np.uint64)
     for b in range(p.bands):
         key = np.full(len(column), b + 1, np.uint64)
         for r in range(p.rows):
-            # odd multipliers: a fingerprint of all rows of the band, spread by one mix
-            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(np.multiply(x, mult[b * p.rows + r], out=scaled), start)
+            # a fingerprint of all rows of the band, spread by one mix
+            key = key * np.uint64(0x9E3779B97F4A7C15) + value[p.value(b, r)]
         keys[:, b] = k.mix(key)
-    return keys
+    sketch = np.zeros(len(column), np.uint32)
+    for bit in range(32):
+        sketch |= (value[bit % p.values] >> np.uint32(3) & np.uint32(1)) << np.uint32(bit)
+    return keys, sketch
 
 
 def split_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -135,131 +183,237 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[9, 13]] = 32
 
 
+def _digests(line: pa.Array) -> np.ndarray:
+    """128 bits of each line, as two integers."""
+    raw = b"".join([blake2b(x, digest_size=16).digest() for x in line.cast(pa.binary()).to_pylist()])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
 def _rows(once: bool):
     """Lines of documents; with ``once``, of equal lines in a task only the first, a second
     place of it, and every place below all before: a line that millions of documents hold is
     so shuffled a few times for each task, not once for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, tuple[int, int]] = {}
-        twice: set[int] = set()
+        seen: dict[tuple[int, int], tuple] = {}  # line -> least place, whether it had another one
         for batch in batches:
             for part in k.slices(batch, "text"):
                 row, number, line = split_lines(part.column("text"))
                 if not len(row):
                     continue
+                h = _digests(line)
                 doc = part.column("doc_id").take(pa.array(row))
-                out = pa.RecordBatch.from_arrays([doc, pa.array(number), line], ["doc_id", "line_no", "line"])
+                out = pa.RecordBatch.from_arrays([doc, pa.array(number), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "line_no", "h1", "h2"])
                 if once:
                     keep = []
-                    for i, (x, place) in enumerate(zip(map(hash, line.cast(pa.binary()).to_pylist()), zip(doc.to_pylist(), number.tolist()))):
-                        before = least.get(x)
-                        if before is None or place < before:
-                            least[x] = place
-                        elif x in twice or place == before:
+                    for i, (x, place) in enumerate(zip(zip(*h.T.tolist()), zip(doc.to_pylist(), number.tolist()))):
+                        if (before := seen.get(x)) is None:
+                            seen[x] = (place, False)
+                        elif place == before[0] or before[1] and place > before[0]:
                             continue
+                        else:
+                            seen[x] = (min(place, before[0]), True)
                         keep.append(i)
-                        if before is not None:
-                            twice.add(x)
-                    out = out.take(pa.array(keep, pa.int64()))
+                    if len(seen) > REMEMBERED:
+                        seen = {x: y for x, y in seen.items() if y[1]}
+                        if len(seen) > REMEMBERED // 2:
+                            seen = {}
+                    out = pa.RecordBatch.from_arrays([*out.columns, line], [*out.schema.names, "line"]).take(pa.array(keep, pa.int64()))
                 yield out
 
     return run
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, once: bool) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2); two hashes tell lines apart at any size."""
-    src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = src.mapInArrow(_rows(once), "doc_id long, line_no int, line string")
-    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-
-
-_DISTINCT = "id long, h1 long, h2 long, doc_id long, line_no int, n int, line string"
+    """(doc_id, line_no, h1, h2, line); both hashes together tell lines apart. The line only with ``once``."""
+    src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(_rows(once), f"doc_id {kind}, line_no int, h1 long, h2 long" + ", line string" * once)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each line of a partition that holds all rows of its lines: its first place, and how many."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    h1, h2, doc, no = (table.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "line_no"))
-    order = np.lexsort((no, doc, h2, h1))
-    new = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)]
-    first = np.flatnonzero(new)
-    # a repeated row of one place isn't a second line
-    place = np.r_[True, new[1:] | (np.diff(doc[order]) != 0) | (np.diff(no[order]) != 0)]
-    count = np.add.reduceat(place.astype(np.int32), first)
-    ids = k.mix(k.mix(h1[order[first]].view(np.uint64)) + h2[order[first]].view(np.uint64)).view(np.int64)
-    rows = table.take(pa.array(order[first])).combine_chunks()
-    rows = pa.table([pa.array(ids), *(rows.column(c) for c in ("h1", "h2", "doc_id", "line_no")), pa.array(count.astype(np.int32)), rows.column("line")], ["id", "h1", "h2", "doc_id", "line_no", "n", "line"])
-    yield from rows.to_batches(max_chunksize=10_000)
+    """Rows sorted by line and place -> one row for each line: its number, its first place, and how many it has."""
+    base, given = TaskContext.get().partitionId() << 32, 0
+    names = ["h1", "h2", "doc_id", "line_no", "line"]
+    held, count, last = None, 0, None  # the line at hand, its places so far, the last of them
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, no = (batch.column(c).to_numpy() for c in ("h1", "h2", "line_no"))
+        doc = batch.column("doc_id")
+        new, place = np.ones(len(h1), bool), np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        # a repeated row of one place isn't a second line
+        place[1:] = new[1:] | (no[1:] != no[:-1]) | pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1)).to_numpy(zero_copy_only=False)
+        if held is not None and (held.column("h1")[0].as_py(), held.column("h2")[0].as_py()) == (int(h1[0]), int(h2[0])):
+            new[0] = False
+            place[0] = last != (doc[0].as_py(), int(no[0]))
+        first = np.flatnonzero(new)
+        total = np.concatenate([[0], np.cumsum(place)])
+        count += int(total[first[0] if len(first) else len(h1)])
+        last = (doc[-1].as_py(), int(no[-1]))
+        if not len(first):
+            continue
+        done = batch.select(names).take(pa.array(first[:-1]))
+        counts = np.diff(total[first])
+        if held is not None:
+            done = pa.Table.from_batches([held, done]).combine_chunks().to_batches()[0]
+            counts = np.r_[count, counts]
+        if done.num_rows:
+            ids = base + given + np.arange(done.num_rows)
+            given += done.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64)), *done.columns], ["id", "n", *names])
+        held = batch.select(names).take(pa.array(first[-1:]))
+        count = int(total[-1] - total[first[-1]])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([base + given], pa.int64()), pa.array([count], pa.int64()), *held.columns], ["id", "n", *names])
 
 
 def _bucketed(p: LineParams, buckets: int):
-    """(bucket, rows): band keys and ids of a slice of lines, packed by the bucket of the key.
+    """(bucket, base, rows): band rows of a slice of lines, packed by the bucket of the key.
 
-    A packed row stands for hundreds of (key, id) pairs; Spark shuffles them as one.
+    A band row is 13 bytes: 40 bits of the key, 32 of the line's number above ``base``, the sketch.
+    A packed row stands for hundreds of them; Spark shuffles them as one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in k.slices(batch, "line"):
-                keys = line_keys(part.column("line"), p)
-                pairs = np.stack([keys.ravel().view(np.int64), np.repeat(part.column("id").to_numpy(), p.bands)], 1)
-                bucket = ((keys.ravel() >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-                offsets = np.r_[first, len(bucket)].astype(np.int32) * 16
-                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs[order]))])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), packed], ["bucket", "rows"])
+                keys, sketch = line_keys(part.column("line"), p)
+                ids = part.column("id").to_numpy()
+                base = ids >> 32 << 32
+                for b in np.unique(base).tolist():
+                    at = np.flatnonzero(base == b)
+                    key = keys[at].ravel()
+                    bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
+                    order = np.argsort(bucket, kind="stable")
+                    bucket = bucket[order]
+                    row = np.empty((len(key), 13), np.uint8)
+                    row[:, :5] = key.view(np.uint8).reshape(-1, 8)[:, :5]
+                    row[:, 5:9] = np.repeat((ids[at] - b).astype(np.uint32), p.bands).view(np.uint8).reshape(-1, 4)
+                    row[:, 9:] = np.repeat(sketch[at], p.bands).view(np.uint8).reshape(-1, 4)
+                    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                    offsets = np.r_[first, len(bucket)].astype(np.int32) * 13
+                    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(row[order])])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), b)), packed], ["bucket", "base", "rows"])
 
     return run
 
 
-def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids that share a band key, in a partition that holds all rows of its keys."""
-    held = []
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key with its bucket, id, sketch) of all band rows of a partition, sorted by key and id."""
+    key, ids, sketch = [], [], []
     for batch in batches:
         column = batch.column("rows")
-        if len(column):
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            held.append(np.frombuffer(column.buffers()[2], np.int64)[offsets[0] // 8 : offsets[-1] // 8].reshape(-1, 2).copy())
-    if not held:
-        return
-    pairs = np.concatenate(held)
-    band, ids = pairs[:, 0], pairs[:, 1]
-    order = np.argsort(band)
-    band, ids = band[order], ids[order]
-    first = np.flatnonzero(np.r_[True, np.diff(band) != 0])
-    size = np.diff(np.r_[first, len(band)])
-    # i-th member with every later one of its bucket; a few hundred thousand pairs at a time
-    last = np.repeat(first + size, size) - 1 - np.arange(len(band))  # members after each one
-    a = np.flatnonzero(last > 0)
-    done = 0
-    while done < len(a):
-        reach = np.cumsum(last[a[done:]])
-        some = a[done : done + max(1, int(np.searchsorted(reach, 500_000)))]
-        many = last[some]
-        left = np.repeat(some, many)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], ["a", "b"])
-        done += len(some)
+        if not len(column):
+            continue
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 13)
+        many = np.diff(offsets) // 13
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw[:, :5]
+        key.append(wide.view(np.int64).ravel() | np.repeat(batch.column("bucket").to_numpy().astype(np.int64) << 40, many))
+        ids.append(np.ascontiguousarray(raw[:, 5:9]).view(np.uint32).ravel() + np.repeat(batch.column("base").to_numpy(), many))
+        sketch.append(np.ascontiguousarray(raw[:, 9:]).view(np.int32).ravel())
+    if not key:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    key, ids, sketch = (np.concatenate(x) for x in (key, ids, sketch))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    live = ~first | np.r_[~first[1:], False]  # keys of one line are done
+    key, order = key[live], order[live]
+    ids, sketch = ids[order], sketch[order]
+    order = np.lexsort((ids, key))
+    return key[order], ids[order], sketch[order]
+
+
+def _stars(p: LineParams):
+    """Band rows of whole buckets -> edges (a, b, key), and members (key, apart, ids, sketches) of buckets of three or more.
+
+    An edge joins a member to the first one of its bucket, if their sketches are close;
+    ``apart``: some member of the bucket has no edge. The key of an edge is null in a bucket of two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sketch = _unpacked(batches)
+        if not len(key):
+            return
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        pivot = np.repeat(first, size)
+        close = np.bitwise_count(sketch ^ sketch[pivot]) <= p.most_bits
+        apart = np.add.reduceat((~close).astype(np.int64), first) > 0
+        edge = np.flatnonzero(close & (ids != ids[pivot]))
+        many = np.repeat(size > 2, size)
+        none = lambda n, kind: pa.nulls(n, kind)
+        lists, bits = pa.list_(pa.int64()), pa.list_(pa.int32())
+        names = ["a", "b", "key", "apart", "ids", "sketches"]
+        for low in range(0, len(edge), 500_000):
+            e = edge[low : low + 500_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pivot[e]]), pa.array(ids[e]), pa.array(key[e], mask=~many[e]), none(len(e), pa.bool_()), none(len(e), lists), none(len(e), bits)], names)
+        # of long buckets several rows
+        at = np.flatnonzero(many)
+        if not len(at):
+            return
+        inside = (at - pivot[at]) % LIST == 0
+        begin = np.flatnonzero(inside)
+        for low in range(0, len(begin), 100_000):
+            some = begin[low : low + 100_000]
+            end = begin[low + 100_000] if low + 100_000 < len(begin) else len(at)
+            rows = at[some[0] : end]
+            offsets = pa.array((np.r_[some, end] - some[0]).astype(np.int32))
+            group = np.searchsorted(first, at[some], side="right") - 1
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), pa.array(key[at[some]]), pa.array(apart[group]), pa.ListArray.from_arrays(offsets, pa.array(ids[rows])), pa.ListArray.from_arrays(offsets, pa.array(sketch[rows]))], names)
+
+    return run
+
+
+def _again(stars: DataFrame, roots: DataFrame, p: LineParams) -> DataFrame:
+    """(a, b): likely pairs of unequal components in the buckets that the stars left open."""
+    of = lambda c, x: roots.select(F.col("node").alias(c), F.col("root").alias(x))
+    edges = stars.where("a is not null and key is not null").select("a", "b", "key").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
+    opened = edges.where("ra is null or rb is null or ra != rb").select("key").unionByName(stars.where("apart").select("key")).distinct()
+    members = stars.where("a is null").join(opened, "key", "left_semi").select("key", F.explode(F.arrays_zip("ids", "sketches")).alias("m"))
+    members = members.select("key", F.col("m.ids").alias("id"), F.col("m.sketches").alias("sketch")).join(of("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sized = members.repartition("key").withColumn("like", F.count("*").over(Window.partitionBy("key", "label")))
+    every = Window.partitionBy("key")
+    sized = sized.withColumn("most", F.max_by("label", F.struct("like", "label")).over(every)).withColumn("total", F.count("*").over(every)).where("like < total")
+    kept = Stored(sized.select("key", "id", "sketch", "label", (F.col("label") != F.col("most")).alias("loose")), "open")
+    left = kept.df.where("loose").select("key", F.col("id").alias("x"), F.col("sketch").alias("sx"), F.col("label").alias("lx"))
+    pairs = left.join(kept.df, "key").where((F.col("lx") != F.col("label")) & (~F.col("loose") | (F.col("x") < F.col("id"))) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sketch")).bitwiseAND(F.lit(0xFFFFFFFF))) <= p.most_bits))
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no): each line that goes, and the line that stays for it."""
     p = params
-    distinct = Stored(_lines(docs, id_col, text_col, True).repartition("h1", "h2").mapInArrow(_distinct, _DISTINCT), "lines")
-
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands = distinct.df.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket int, rows binary").repartitionById(buckets, "bucket")
-    pairs = Stored(bands.mapInArrow(_band_pairs, "a long, b long").distinct(), "line_pairs")
-    edges = Stored(verified_pairs(pairs.df, distinct.df.select("id", F.col("line").alias("text")), _sets(p.n), p.threshold, dtype=np.uint32, connect=True), "line_edges")
-    pairs.drop()
+    lines = _lines(docs, id_col, text_col, True)
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    ordered = lines.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "line_no")
+    distinct = Stored(ordered.mapInArrow(_distinct, f"id long, n long, h1 long, h2 long, doc_id {kind}, line_no int, line string"), "lines")
+
+    # partitions of bounded size, however many lines there are
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.df.count() * p.bands * 13 // p.partition))
+    bands = distinct.df.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket int, base long, rows binary").repartitionById(buckets, "bucket")
+    stars = Stored(bands.mapInArrow(_stars(p), "a long, b long, key long, apart boolean, ids array<long>, sketches array<int>"), "stars")
+
+    sizes = distinct.df.select("id", F.length("line").alias("size"))
+    # lines are always shuffled: the same plan, and the same cost per byte, at every size
+    attach = lambda lists: distinct.df.select("id", F.col("line").alias("text")).hint("merge").join(lists, F.col("id") == F.col("d"))
+    verified = lambda pairs: verified_pairs(pairs, attach, sizes, _sets(p.n), p.threshold, tile_size=4_000_000, dtype=np.uint32, connect=True).select("a", "b")
+    edges = Stored(verified(stars.df.where("a is not null").select("a", "b").distinct()), "line_edges")
     roots = connected_components(edges.df)
-    edges.drop()
+    again = Stored(_again(stars.df, roots.df, p), "line_pairs")
+    stars.drop()
+    if not again.df.isEmpty():
+        more = Stored(edges.df.unionByName(verified(again.df)), "line_edges")
+        roots.drop()
+        roots = connected_components(more.df)
+        more.drop()
+    for table in (edges, again):
+        table.drop()
     firsts = distinct.df.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     # only lines that have another one: in a component, or in several places
     grouped = firsts.join(roots.df.withColumnRenamed("node", "id"), "id", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "id"))
@@ -267,7 +421,7 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col:
     copies = Stored(grouped.join(kept, "root").select("h1", "h2", "keep"), "copies")
     distinct.drop()
     roots.drop()
-    out = _lines(docs, id_col, text_col, False).select("doc_id", "line_no", "h1", "h2").join(copies.df, ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("keep")).distinct()
+    out = _lines(docs, id_col, text_col, False).join(copies.df, ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("keep")).groupBy("doc_id", "line_no").agg(F.min("keep").alias("keep"))
     return out.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
 
 
@@ -280,10 +434,9 @@ def _sets(n: int):
 
 
 def remove_duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with the lines of ``duplicate_lines`` taken out of its texts; all columns are kept."""
+    """The table with the lines of ``duplicate_lines`` taken out of its texts; all columns and rows are kept."""
+    key, lines = fresh(docs, "dedup_id"), fresh(docs, "dedup_lines")
     gone = duplicate_lines(docs, params, id_col, text_col).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
-    gone = gone.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("_dedup_id"), F.col("gone").alias("_dedup_gone"))
-    lines = F.split(text_col, "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains("_dedup_gone", i))
-    text = F.when(F.col("_dedup_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return docs.join(gone, docs[id_col] == F.col("_dedup_id"), "left").withColumn(text_col, text).select(*docs.columns)
+    joined = docs.join(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(lines)), docs[id_col] == F.col(key), "left")
+    left = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(lines, i))
+    return joined.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)

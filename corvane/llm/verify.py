@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,25 +36,9 @@ def verified_pairs(pairs: DataFrame, attach: Callable, sizes: DataFrame, sets_of
     need = keyed.df.select("key", F.col("a").alias("d")).unionByName(keyed.df.select("key", F.col("b").alias("d"))).distinct()
     found = attach(need.groupBy("d").agg(F.collect_list("key").alias("keys"))).select("id", "text", "keys")
 
-    width = np.dtype(dtype).itemsize
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in k.slices(batch, "text"):
-                element, edge = _packed(*sets_of(part.column("text")), part.num_rows, dtype)
-                edge = edge * width
-                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(element)])
-                many = pc.list_value_length(part.column("keys")).to_numpy(zero_copy_only=False)
-                of = np.repeat(np.arange(part.num_rows), many)
-                keys = part.column("keys").flatten()
-                # a batch stays small however many blocks a set goes to
-                load = np.cumsum(np.diff(edge)[of] + 64)
-                cuts = np.flatnonzero(np.diff(load // (8 << 20))) + 1
-                for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
-                    take = pa.array(of[low:high])
-                    yield pa.RecordBatch.from_arrays([keys.slice(low, high - low), part.column("id").take(take), pa.nulls(high - low, pa.int64()), packed.take(take)], ["key", "a", "b", "grams"])
-
-    rows = found.mapInArrow(sets, "key long, a long, b long, grams binary").unionByName(keyed.df.select("key", "a", "b", F.lit(None).cast("binary").alias("grams")))
+    # texts travel and sets are made where they are compared: n-gram hashes are larger than texts
+    sets = found.select(F.explode("keys").alias("key"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = sets.unionByName(keyed.df.select("key", "a", "b", F.lit(None).cast("string").alias("text")))
     # within a key the sets come first (their b is null), then the pairs
     rows = rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
 
@@ -68,32 +51,35 @@ def verified_pairs(pairs: DataFrame, attach: Callable, sizes: DataFrame, sets_of
             return x
 
         for batch in batches:
-            out_a, out_b, out_j = [], [], []
-            for key, a, b, data in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "grams"))):
-                if key != now:
-                    now, held, parent = key, {}, {}
-                if b is None:
-                    held.setdefault(a, []).append(np.frombuffer(data, dtype))
-                    continue
-                if connect and find(a) == find(b):
-                    continue
-                best = 0.0
-                for x in held.get(a, ()):
-                    for y in held.get(b, ()):
-                        if len(x) and len(y) and min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                            if len(x) > len(y):
-                                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                            else:
-                                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                            best = max(best, both / (len(x) + len(y) - both))
-                if best >= threshold:
-                    out_a.append(a)
-                    out_b.append(b)
-                    out_j.append(best)
-                    if connect:
-                        parent[find(a)] = find(b)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["a", "b", "jaccard"])
+            for part in k.slices(batch, "text"):
+                element, edge = _packed(*sets_of(part.column("text")), part.num_rows, dtype)
+                edge = edge.tolist()
+                out_a, out_b, out_j = [], [], []
+                for r, (key, a, b) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "a", "b")))):
+                    if key != now:
+                        now, held, parent = key, {}, {}
+                    if b is None:
+                        held.setdefault(a, []).append(element[edge[r] : edge[r + 1]])
+                        continue
+                    if connect and find(a) == find(b):
+                        continue
+                    best = 0.0
+                    for x in held.get(a, ()):
+                        for y in held.get(b, ()):
+                            if len(x) and len(y) and min(len(x), len(y)) >= threshold * max(len(x), len(y)):
+                                if len(x) > len(y):
+                                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                                else:
+                                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                                best = max(best, both / (len(x) + len(y) - both))
+                    if best >= threshold:
+                        out_a.append(a)
+                        out_b.append(b)
+                        out_j.append(best)
+                        if connect:
+                            parent[find(a)] = find(b)
+                if out_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["a", "b", "jaccard"])
 
     return rows.mapInArrow(compare, "a long, b long, jaccard double")
 
