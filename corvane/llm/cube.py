@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Stored, fresh
+from corvane.llm.common import Stored, by_keys
 
 EDGE = 1e-9
 
@@ -198,9 +198,6 @@ def _schema(source_type):
 
 
 def sample_documents(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The selected rows with all their columns."""
-    gone = _mixed(docs, params, id_col, text_col, source_col).where(~F.col("selected")).select("doc_id", "source", "tie").distinct()
-    a, b, c = fresh(docs, "g_id"), fresh(docs, "g_source"), fresh(docs, "g_tie")
-    gone = gone.toDF(a, b, c)
-    same = docs[id_col].eqNullSafe(gone[a]) & docs[source_col].eqNullSafe(gone[b]) & (F.xxhash64(docs[text_col]) == gone[c])
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    """The selected rows with all their columns. Narrow keys of the others filter the table, see ``by_keys``."""
+    gone = Stored(_mixed(docs, params, id_col, text_col, source_col).where(~F.col("selected")).select("doc_id", "source", "tie").distinct(), "gone")
+    return by_keys(docs, gone, {"doc_id": F.col(id_col), "source": F.col(source_col), "tie": F.xxhash64(text_col)}, "left_anti")

@@ -11,7 +11,7 @@ of the score, from which words of the item the stretch has at all, so nothing
 that reaches ``min_score`` is lost to it. What shares no n words in a row with an
 item isn't found.
 
-The pass is map-only over the corpus; the benchmark side is a broadcast of
+The pass is map-only over the corpus, as query and as filter; the benchmark side is a broadcast of
 checked size. Beyond ``max_items_words`` words, the benchmark is cut in slices
 and the pass repeats for each, so nothing is dropped and no executor holds
 more than one slice.
@@ -210,72 +210,98 @@ def _aligned(words: k.Words, bench: Bench, at: np.ndarray, rows: np.ndarray, sla
     return doc, item, share
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, params: DecontamParams = DecontamParams(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score): pairs of a document and a test item it holds a copy of."""
-    p = params
-    spark = docs.sparkSession
-    src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+def _slices(bench: DataFrame, p: DecontamParams, item_col: str, item_text: str) -> Iterator[Bench]:
+    """The benchmark in slices of checked size, by the hash of the id."""
     items = texts(bench, item_col, item_text).where(F.col("doc_id").isNotNull())
-    kind, item_kind = (x.schema["doc_id"].dataType.simpleString() for x in (src, items))
-    # slices of checked size, by the running count of words over a hash of the id
     size = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0
     slices = int(size // p.max_items_words) + 1
-    out = None
     for s in range(slices):
         part = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == s).select("doc_id", "text").toArrow().combine_chunks()
         part = part.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         column = part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string())
-        b = _bench(column, part.column("doc_id").to_pylist(), p.n)
-        pairs = _search(spark, src, b, p, kind, item_kind)
-        out = pairs if out is None else out.unionByName(pairs)
+        yield _bench(column, part.column("doc_id").to_pylist(), p.n)
+
+
+class _Search:
+    """Copies of a slice of the benchmark in batches of texts; made once in a task."""
+
+    def __init__(self, bench: Bench, p: DecontamParams):
+        self.bench, self.p = bench, p
+        self.sizes = sorted({min(p.n, len(x)) for x in bench.words if len(x)})
+        self.distinct, self.begin, self.many = np.unique(bench.seeds, return_index=True, return_counts=True)
+        self.bits = _lookup(self.distinct)
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, share) of stretches that reach ``min_score``."""
+        p, many = self.p, self.many
+        words = k.Words(column)
+        at, which = _hits(words, self.distinct, self.bits, self.sizes)
+        if not len(at):
+            return
+        order = np.argsort(at, kind="stable")
+        at, which = at[order], which[order]
+        # candidates of whole documents, so that the stretches of a pair stay together
+        load = np.cumsum(np.bincount(words.doc[at], many[which], words.n_docs)).astype(np.int64)
+        ends = np.r_[np.flatnonzero(np.diff(load // p.chunk)), words.n_docs - 1] + 1
+        cuts = np.searchsorted(words.doc[at], ends)
+        for a, b in zip([0, *cuts.tolist()], cuts.tolist()):
+            if a == b:
+                continue
+            repeat = many[which[a:b]]  # a seed may be in several places of several items
+            total = np.cumsum(repeat)
+            rows = np.arange(total[-1]) - np.repeat(total - repeat, repeat) + np.repeat(self.begin[which[a:b]], repeat)
+            doc, item, share = _aligned(words, self.bench, np.repeat(at[a:b], repeat), rows, p.slack, p.min_score)
+            ok = share >= p.min_score
+            if ok.any():
+                yield doc[ok], item[ok], share[ok]
+
+
+def find_leaks(docs: DataFrame, bench: DataFrame, params: DecontamParams = DecontamParams(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, score): pairs of a document and a test item it holds a copy of."""
+    src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+    kind, item_kind = src.schema["doc_id"].dataType.simpleString(), bench.schema[item_col].dataType.simpleString()
+    out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, score double")
+    for b in _slices(bench, params, item_col, item_text):
+        if len(b.seeds):
+            out = out.unionByName(_pairs(src, b, params, kind, item_kind))
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _search(spark, src: DataFrame, bench: Bench, p: DecontamParams, kind: str, item_kind: str) -> DataFrame:
-    schema = f"doc_id {kind}, item_id {item_kind}, score double"
-    if not len(bench.seeds):
-        return spark.createDataFrame([], schema)
-    sizes = sorted({min(p.n, len(x)) for x in bench.words if len(x)})
-    shared = spark.sparkContext.broadcast((bench, sizes))
+def _pairs(src: DataFrame, bench: Bench, p: DecontamParams, kind: str, item_kind: str) -> DataFrame:
+    shared = src.sparkSession.sparkContext.broadcast(bench)
     ids_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, sizes = shared.value
-        distinct, begin, many = np.unique(bench.seeds, return_index=True, return_counts=True)
-        bits = _lookup(distinct)
-        ids = pa.array(bench.ids, ids_type)
+        find = _Search(shared.value, p)
+        ids = pa.array(find.bench.ids, ids_type)
         for batch in batches:
             for part in k.slices(batch, "text"):
-                words = k.Words(part.column("text"))
-                at, which = _hits(words, distinct, bits, sizes)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, which = at[order], which[order]
-                # candidates of whole documents, so that the stretches of a pair stay together
-                load = np.cumsum(np.bincount(words.doc[at], many[which], words.n_docs)).astype(np.int64)
-                ends = np.r_[np.flatnonzero(np.diff(load // p.chunk)), words.n_docs - 1] + 1
-                cuts = np.searchsorted(words.doc[at], ends)
-                for a, b in zip([0, *cuts.tolist()], cuts.tolist()):
-                    if a == b:
-                        continue
-                    repeat = many[which[a:b]]  # a seed may be in several places of several items
-                    total = np.cumsum(repeat)
-                    rows = np.arange(total[-1]) - np.repeat(total - repeat, repeat) + np.repeat(begin[which[a:b]], repeat)
-                    doc, item, share = _aligned(words, bench, np.repeat(at[a:b], repeat), rows, p.slack, p.min_score)
-                    ok = share >= p.min_score
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[ok])), ids.take(pa.array(item[ok])), pa.array(share[ok])], ["doc_id", "item_id", "score"])
-
-    return src.mapInArrow(search, schema)
-
-
-def drop_leaks(docs: DataFrame, bench: DataFrame, params: DecontamParams = DecontamParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a copy of a test item, all their columns.
-
-    Texts decide, by their hash: rows with a null id are judged too, and of an id with
-    several texts only those that hold a copy go.
+                for doc, item, share in find(part.column("text")):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), ids.take(pa.array(item)), pa.array(share)], ["doc_id", "item_id", "score"])
+
+    return src.mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, score double")
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame, params: DecontamParams = DecontamParams(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without a copy of a test item, all their columns; a filter, no join and no shuffle.
+
+    Each row is judged by its text alone: rows with a null id are judged too, and of an id with
+    several texts only those that hold a copy go. Null and empty texts stay.
     """
-    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
-    bad = find_leaks(keyed, bench, params, "key", "text").select("doc_id").distinct()
-    return docs.join(bad, F.xxhash64(docs[text_col]) == bad["doc_id"], "left_anti").select(*docs.columns)
+    p, out = params, docs
+    for b in _slices(bench, p, item_col, item_text):
+        if not len(b.seeds):
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(b)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            find = _Search(shared.value, p)
+            for batch in batches:
+                for part in k.slices(batch, text_col):
+                    keep = np.ones(part.num_rows, bool)
+                    for doc, _, _ in find(part.column(text_col)):
+                        keep[doc] = False
+                    yield part.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

@@ -17,8 +17,11 @@ named like a computed one are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import Stored, fresh, text_bytes
 
@@ -55,20 +58,35 @@ def _plan(docs: DataFrame, n_shards: int, id_col: str, text_col: str) -> DataFra
 
 
 def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", name: str = "shard_id") -> DataFrame:
-    """All columns of the table and the shard of each row; map-only over the texts."""
+    """All columns of the table and the shard of each row; map-only over the texts.
+
+    The first keys of the shards travel as one broadcast row, in groups of about the square root of
+    their number: a row is compared with the groups' first keys and then with those of one group.
+    """
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     plan = _plan(docs, n_shards, id_col, text_col)
     # at most one row per shard: the first key of each
-    first = plan.groupBy("shard_id").agg(F.min(F.struct("doc_id", "tie")).alias("k")).orderBy("shard_id").collect()
-    kind = docs.schema[id_col].dataType
-    bounds = F.array(*[F.struct(F.lit(r.k.doc_id).cast(kind).alias("doc_id"), F.lit(r.k.tie).cast("long").alias("tie")) for r in first])
-    if not first:
+    first = plan.groupBy("shard_id").agg(F.min(F.struct("doc_id", "tie")).alias("k")).select("k.doc_id", "k.tie", "shard_id").orderBy("shard_id")
+    bounds = Stored(first, "bounds")
+    rows = bounds.df.orderBy("shard_id").collect()
+    bounds.drop()
+    if not rows:
         return docs.select(*kept, F.lit(None).cast("int").alias(name))
-    numbers = F.array(*[F.lit(r.shard_id) for r in first])
-    key = fresh(docs, "shard_key")
-    out = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie")))
-    at = F.size(F.filter(bounds, lambda b: b <= F.col(key)))
-    return out.select(*kept, F.element_at(numbers, at).cast("int").alias(name))
+    width = max(1, round(len(rows) ** 0.5))
+    groups = [[tuple(r) for r in rows[i : i + width]] for i in range(0, len(rows), width)]
+    bound = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("tie", T.LongType()), T.StructField("shard_id", T.IntegerType())])
+    table, key = fresh(docs, "shard_bounds"), fresh(docs, "shard_key")
+    one = docs.sparkSession.createDataFrame([(groups,)], T.StructType([T.StructField(table, T.ArrayType(T.ArrayType(bound)))]))
+    here = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"))
+    reached = lambda b: F.struct(b["doc_id"].alias("doc_id"), b["tie"].alias("tie")) <= F.col(key)
+    group = F.element_at(table, F.size(F.filter(table, lambda g: reached(F.element_at(g, 1)))))
+    shard = let(group, lambda g: F.element_at(g, F.size(F.filter(g, reached)))["shard_id"])
+    return docs.crossJoin(F.broadcast(one)).withColumn(key, here).select(*kept, shard.cast("int").alias(name))
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
 
 
 #: DuckDB: {docs} a relation, {columns} what to keep of it, {n} the shards.
