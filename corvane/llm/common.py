@@ -101,7 +101,7 @@ def by_keys(docs: DataFrame, held: Stored, keys: Mapping[str, Column], how: str,
     if not size["n"]:
         return docs if how == "left_anti" else docs.limit(0)
     side = held.df.select(*[F.col(c).alias(n) for c, n in names.items()])
-    few = size["n"] * 48 + sum(size[c] or 0 for c in keys) <= most
+    few = size["n"] * 128 + sum(size[c] or 0 for c in keys) <= most
     same = reduce(lambda a, b: a & b, [x.eqNullSafe(F.col(names[c])) for c, x in keys.items()])
     return docs.join(F.broadcast(side) if few else side.hint("merge"), same, how)
 
