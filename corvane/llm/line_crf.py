@@ -5,15 +5,17 @@ features of the line (shares of character classes, length, ending, hashed
 words); transition scores join neighbouring lines. The model maximises the
 conditional likelihood by stochastic gradients from forward-backward
 marginals, over a bounded sample of labelled documents: lines of good
-documents count as content, those of bad documents and notices (licence,
-rights, cookies ...) as boilerplate. Decoding finds the best label sequence
+documents count as content, those of bad documents as boilerplate, and so do lines
+that the corpus repeats in many surroundings: a line of the sample is counted over all
+documents, once for each pair of neighbours, so that copies of a document
+don't count and no list of words is needed. Decoding finds the best label sequence
 of each document exactly, for all documents of a batch at a time; the share of
 content bytes decides whether the document is kept.
 
 Defined results: blank lines have no label and no bytes. Null, empty and blank
 texts have no lines: share 0.0, not kept. Without labelled rows every line is
 content. Rows are decoded one by one: repeated rows and ids give their own
-row each, null ids stay null.
+row each, null ids stay null. Lines that differ in case and white space at the ends only count as equal.
 """
 
 from __future__ import annotations
@@ -23,14 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import kernel as k
-from corvane.llm.common import texts
-
-NOTICE = r"(?i)rights reserved|licen[sc]ed? |copyright|\(c\) ?\d{4}|cookie|privacy policy|terms of (use|service)|subscribe|click here|sign up|log in"
+from corvane.llm.common import labelled_sample, texts
+from corvane.llm.line_dedup import split_lines
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other symbol, 1 lower or non-ASCII, 2 upper, 3 digit, 4 blank, 5 .,;:'"-, 6 other marks
 for _a, _b, _c in (("a", "z", 1), ("A", "Z", 2), ("0", "9", 3)):
@@ -46,6 +46,8 @@ N_DENSE = 2 * N_CLASS + 10
 class CrfParams:
     word_bits: int = 13  #: hashed word features
     per_class: int = 1000  #: labelled documents per quality class that training uses at most
+    class_bytes: int = 16 << 20  #: bytes of text within which the last of them begins
+    contexts: int = 5  #: pairs of neighbours from which a line of the corpus is boilerplate
     epochs: int = 8
     rate: float = 0.3
     l2: float = 1e-5
@@ -76,6 +78,7 @@ class Lines:
         self.start, count, solid, blank = start[live], count[live], solid[live], blank[live]
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
+        self.number = np.searchsorted(brk, self.start) - np.searchsorted(brk, offsets[self.doc])
         self.size = solid
         words = k.Words(col)
         # lower case may change the bytes of a text: words find their line by its number, not by offset
@@ -196,8 +199,41 @@ def marginals(score: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndar
     return prob[:, 1], (edge / edge.sum((1, 2), keepdims=True)).sum(0)
 
 
-def train(column: pa.Array, good: np.ndarray, params: CrfParams = CrfParams()) -> CrfModel:
-    """Gradient ascent (AdaGrad) on the conditional log-likelihood, one document a step."""
+def line_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the lines that aren't blank: lower case, trimmed."""
+    row, _, line = split_lines(column)
+    data, offsets = k.buffers(line)
+    return row, k.run_hash(data, offsets[:-1], offsets[1:])
+
+
+def repeated_lines(docs: DataFrame, wanted: np.ndarray, contexts: int, text_col: str) -> np.ndarray:
+    """Those of the ``wanted`` line hashes that the corpus has between ``contexts`` different pairs of neighbours or more, sorted."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.unique(wanted))  # lines of the sample, which is bounded
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for part in k.slices(batch, "text"):
+                row, h = line_hashes(part.column("text"))
+                if not len(h) or not len(known):
+                    continue
+                new = np.r_[True, row[1:] != row[:-1], True]
+                before = np.where(new[:-1], np.uint64(1), np.r_[np.uint64(0), h[:-1]])
+                after = np.where(new[1:], np.uint64(2), np.r_[h[1:], np.uint64(0)])
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                pair = np.unique(np.stack([h[at], k.mix(k.mix(before[at]) + after[at])], 1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["line", "context"])
+
+    found = docs.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(seen, "line long, context long")
+    often = found.distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= contexts).select("line").toArrow()
+    return np.sort(often.column("line").to_numpy().view(np.uint64))
+
+
+def train(column: pa.Array, good: np.ndarray, params: CrfParams = CrfParams(), repeated: np.ndarray | None = None) -> CrfModel:
+    """Gradient ascent (AdaGrad) on the conditional log-likelihood, one document a step.
+
+    ``repeated``: hashes of lines that are boilerplate wherever they are.
+    """
     p = params
     model = CrfModel(np.zeros(N_DENSE), np.zeros(1 << p.word_bits), np.zeros((2, 2)), p)
     model.dense[N_DENSE - 1] = 1.0
@@ -207,8 +243,7 @@ def train(column: pa.Array, good: np.ndarray, params: CrfParams = CrfParams()) -
         lines = Lines(text, p.word_bits)
         if not len(lines.size):
             continue
-        raw = [x for x in (text[0].as_py() or "").split("\n") if x.strip(" \t\r")]
-        notice = np.array(pc.match_substring_regex(pa.array(raw, pa.string()), NOTICE).to_pylist(), bool) if len(raw) == len(lines.size) else np.zeros(len(lines.size), bool)
+        notice = np.zeros(len(lines.size), bool) if repeated is None else np.isin(line_hashes(text)[1], repeated)
         docs.append((lines, (bool(good[i]) & ~notice).astype(float)))
     rng = np.random.default_rng(p.seed)
     g2 = [np.full_like(w, 1e-2) for w in (model.dense, model.word, model.trans)]
@@ -228,20 +263,31 @@ def train(column: pa.Array, good: np.ndarray, params: CrfParams = CrfParams()) -
 
 
 def fit_lines(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", params: CrfParams = CrfParams()) -> CrfModel | None:
-    """Train on at most ``per_class`` labelled documents of either quality, chosen by a hash of the id."""
-    one = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col).cast("int") > 0).alias("good")).dropna().groupBy("doc_id").agg(F.min("good").alias("good"))
-    picks = one.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.per_class).unionByName(one.where("not good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.per_class))
-    # the chosen ids are bounded by per_class, whatever the size of the corpus
-    rows = texts(docs, id_col, text_col).join(F.broadcast(picks), "doc_id").select("doc_id", "text", "good").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    """Train on at most ``per_class`` labelled documents of either quality, see ``labelled_sample``.
+
+    Several labels of one id count as the lowest. None if no labelled document is there. Repeats are counted over all documents.
+    """
+    good = (F.col(label_col).cast("int") > 0).cast("int")
+    sample = labelled_sample(docs, labels, good, params.per_class, params.class_bytes, id_col, text_col)
+    rows = sample.toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     if not rows.num_rows:
         return None
     column = rows.column("text").combine_chunks()
-    return train(column, np.array(rows.column("good").to_pylist(), bool), params)
+    column = column if isinstance(column, pa.Array) else column.chunk(0)
+    return train(column, rows.column("y").to_numpy() > 0, params, repeated_lines(docs, line_hashes(column)[1], params.contexts, text_col))
+
+
+def _decoded(column: pa.Array, model: CrfModel | None, p: CrfParams) -> tuple[Lines, np.ndarray]:
+    """Lines of a batch and the label of each: 0 boilerplate, 1 content."""
+    lines = Lines(column, p.word_bits)
+    return lines, viterbi(lines.scores(model.dense, model.word), lines.first, model.trans) if model else np.ones(len(lines.size), np.int8)
 
 
 def label_lines(docs: DataFrame, model: CrfModel | None, id_col: str = "doc_id", text_col: str = "text", params: CrfParams = CrfParams()) -> DataFrame:
-    """(doc_id, n_lines, content_lines, content_share, keep); one pass, no shuffle."""
+    """(doc_id, n_lines, content_lines, content_share, keep, boilerplate); one pass, no shuffle.
+
+    ``boilerplate``: numbers of the lines so labelled, from 0, in order.
+    """
     src = texts(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -250,12 +296,37 @@ def label_lines(docs: DataFrame, model: CrfModel | None, id_col: str = "doc_id",
         p = model.params if model else params
         for batch in batches:
             for part in k.slices(batch, "text"):
-                lines = Lines(part.column("text"), p.word_bits)
-                label = viterbi(lines.scores(model.dense, model.word), lines.first, model.trans) if model else np.ones(len(lines.size), np.int8)
+                lines, label = _decoded(part.column("text"), model, p)
                 n = lines.n_docs
                 total, content = np.bincount(lines.doc, lines.size, n), np.bincount(lines.doc, lines.size * label, n)
                 share = content / np.maximum(total, 1)
                 counts = [pa.array(np.bincount(lines.doc, w, n).astype(np.int64)) for w in (None, label)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(share), pa.array((total > 0) & (share >= p.share))], ["doc_id", "n_lines", "content_lines", "content_share", "keep"])
+                bad = np.flatnonzero(label == 0)
+                offsets = np.searchsorted(lines.doc[bad], np.arange(n + 1)).astype(np.int32)
+                numbers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lines.number[bad].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(share), pa.array((total > 0) & (share >= p.share)), numbers], ["doc_id", "n_lines", "content_lines", "content_share", "keep", "boilerplate"])
+
+    return src.mapInArrow(decode, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_lines long, content_lines long, content_share double, keep boolean, boilerplate array<int>")
+
+
+def clean_texts(docs: DataFrame, model: CrfModel | None, text_col: str = "text", params: CrfParams = CrfParams()) -> DataFrame:
+    """The table with the boilerplate lines taken out of its texts, all rows and columns; a filter, no shuffle. Null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        p = model.params if model else params
+        for batch in batches:
+            for part in k.slices(batch, text_col):
+                lines, label = _decoded(part.column(text_col), model, p)
+                bad = np.flatnonzero(label == 0)
+                gone: dict[int, set] = {}
+                for d, no in zip(lines.doc[bad].tolist(), lines.number[bad].tolist()):
+                    gone.setdefault(d, set()).add(no)
+                text = part.column(text_col).to_pylist()
+                for d, numbers in gone.items():
+                    text[d] = "\n".join(x for no, x in enumerate(text[d].split("\n")) if no not in numbers)
+                at = part.schema.names.index(text_col)
+                yield part.set_column(at, part.schema.field(at), pa.array(text, part.schema.field(at).type))
 
-    return src.mapInArrow(decode, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_lines long, content_lines long, content_share double, keep boolean")
+    return docs.mapInArrow(clean, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import kernel as k
-from corvane.llm.common import texts
+from corvane.llm.common import labelled_sample, texts
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ class QualityParams:
     rate: float = 1.0
     gram_sizes: tuple[int, ...] = (3, 4)
     per_class: int = 2000  #: labelled documents per class that training uses at most
+    class_bytes: int = 32 << 20  #: bytes of text within which the last of them begins
     start: float = 0.1  #: spread of the first vectors, as a share of 1 / dim
     seed: int = 7
 
@@ -150,22 +151,12 @@ def train(column: pa.Array, labels: np.ndarray, params: QualityParams = QualityP
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", params: QualityParams = QualityParams()) -> QualityModel | None:
-    """Train on at most ``per_class`` labelled documents of each class, chosen by a hash of the id.
+    """Train on at most ``per_class`` labelled documents of each class, see ``labelled_sample``.
 
-    Several labels of one id count as their lowest; null ids and labels don't count.
-    None if no labelled document is there.
+    Several labels of one id count as their lowest. None if no labelled document is there.
     """
-    one = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
-    known = sorted(r.y for r in one.select("y").distinct().collect())
-    if not known:
-        return None
-    picks = None
-    for y in known:
-        part = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.per_class)
-        picks = part if picks is None else picks.unionByName(part)
-    # the chosen ids are bounded by per_class, whatever the size of the corpus
-    rows = texts(docs, id_col, text_col).join(F.broadcast(picks), "doc_id").select("doc_id", "text", "y").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    sample = labelled_sample(docs, labels, F.col(label_col).cast("int"), params.per_class, params.class_bytes, id_col, text_col)
+    rows = sample.toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     if not rows.num_rows:
         return None
     column = rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text")

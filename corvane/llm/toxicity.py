@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import kernel as k
-from corvane.llm.common import fresh, texts
+from corvane.llm.common import fresh, labelled_sample, texts
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class ToxicityParams:
     l1: float = 2e-3
     steps: int = 250
     per_class: int = 3000  #: labelled documents per grade that training uses at most
+    class_bytes: int = 64 << 20  #: bytes of text within which the last of them begins
     threshold: float = 0.5  #: expected severity from which a document is toxic
 
 
@@ -139,20 +140,14 @@ def train(doc: np.ndarray, bucket: np.ndarray, grades: np.ndarray, params: Toxic
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grades: bool = False, id_col: str = "doc_id", text_col: str = "text", params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled documents of each label, chosen by a hash of the id.
+    """Fit on at most ``per_class`` labelled documents of each label, see ``labelled_sample``.
 
     ``grades``: the label column holds ordered severity grades; otherwise it is
     0 or 1 and grades come from ``graded``. Several labels of one id count as
     the highest. Whole texts are turned into buckets on the executors.
     """
     p = params
-    one = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
-    picks = None
-    for y in sorted(r.y for r in one.select("y").distinct().collect()):
-        part = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.per_class)
-        picks = part if picks is None else picks.unionByName(part)
-    if picks is None:
-        return train(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), p)
+    sample = labelled_sample(docs, labels, F.col(label_col).cast("int"), p.per_class, p.class_bytes, id_col, text_col, F.max)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,12 +157,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), ids], ["doc_id", "y", "ids"])
 
-    src = texts(docs, id_col, text_col)
-    kind = src.schema["doc_id"].dataType.simpleString()
-    # the chosen ids are bounded by per_class, whatever the size of the corpus
-    rows = src.join(F.broadcast(picks), "doc_id").mapInArrow(hashed, f"doc_id {kind}, y int, ids array<int>").toArrow()
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(hashed, f"doc_id {kind}, y int, ids array<int>").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
     y = rows.column("y").to_numpy().astype(np.int64)
+    if not len(y):
+        return train(np.zeros(0, np.int64), np.zeros(0, np.int64), y, p)
     lists = rows.column("ids").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
