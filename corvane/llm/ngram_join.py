@@ -51,6 +51,7 @@ class JoinParams:
     step: int = 16  #: signature values compared between two looks at the posterior
     tolerance: float = 0.005  #: posterior probability of reaching the threshold below which a pair is dropped
     tile: int = 512  #: documents in a tile of a verification block
+    tile_size: int = 2_000_000  #: n-grams in it
     bucket_tile: int = 4096  #: documents in a tile of a band bucket
     pivots: int = 64  #: documents of a tiled bucket that all its tiles see in the first round
     seed: int = 11
@@ -324,7 +325,7 @@ def _verified(pairs: DataFrame, src: DataFrame, reps: DataFrame, p: JoinParams,
         # texts are always shuffled: the same plan, and the same cost per byte, at every size
         return src.hint("merge").join(named, (F.col("tie") == F.col("of_tie")) & F.col("doc_id").eqNullSafe(F.col("of"))).select(F.col("d").alias("id"), "text", "keys")
 
-    return verified_pairs(pairs, attach, reps.select(F.col("rep").alias("id"), "size"), _sets(p.n), p.threshold, p.tile, connect=connect)
+    return verified_pairs(pairs, attach, reps.select(F.col("rep").alias("id"), "size"), _sets(p.n), p.threshold, p.tile, p.tile_size, connect=connect)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

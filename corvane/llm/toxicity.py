@@ -7,8 +7,8 @@ very long text. The weights carry an L1 penalty and only buckets that occur in
 enough labelled documents can have one; all other words weigh exactly 0. The
 output is the expected severity, the sum of grade * P(grade).
 
-Defined results: null, empty and word-less texts have severity of x = 0 and
-are never toxic. Without labels (or with one grade only) severity is that
+Defined results: null, empty and word-less texts have the lowest grade as severity and
+are never toxic where that is 0. Without labels (or with one grade only) severity is that
 constant grade, 0.0 without any. Rows are scored one by one: repeated rows and
 ids each give their own row, null ids stay null.
 """
@@ -69,7 +69,7 @@ class ToxicityModel:
             pair = np.unique(words.doc[hit] << self.params.buckets_log2 | ids[hit])
             at = np.searchsorted(self.buckets, pair & ((1 << self.params.buckets_log2) - 1))
             score += np.bincount(pair >> self.params.buckets_log2, self.weights[at], words.n_docs)
-        return self.expected(score)
+        return np.where(np.diff(words.first) > 0, self.expected(score), float(self.base))
 
 
 def presence(column: pa.Array, buckets_log2: int) -> tuple[np.ndarray, np.ndarray]:

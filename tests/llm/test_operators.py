@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -14,10 +15,11 @@ from corvane.llm import cube, debruijn, decontam, line_crf, line_dedup, ngram_jo
 from corvane.llm import kernel as k
 from corvane.llm.common import prepare
 from corvane.llm.components import connected_components
+from corvane.llm.forest import spanning_forest
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
-DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, keep string, id int, rank int, h1 int, band int, ordinal int, part int, tie int, shard_key int"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, score double, keep string, id int, rank int, h1 int, band int, ordinal int, part int, tie int, shard_key int, dedup_lines int, held_doc_id int, shard_bounds int"
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +39,7 @@ def odd_rows():
     near = base.split()
     near[40] = "changed"
     made = [(1, base), (2, base.upper() + "!"), (3, " ".join(near)), (4, None), (5, ""), (6, "  \n\t \n"), (7, long), (8, "one"), (9, "one"), (10, line + "\n" + words(rng, 70)), (11, words(rng, 5) + "\n" + line), (None, base), (None, None), (1, base), (12, "x" * 5000), (13, "é è ü " * 40), (14, words(rng, 60) + " " + base), (8, "a second text of this id")]
-    return [(i, t, "en" if i and i % 2 else None, "s" if i and i % 3 else None, 1, 0.5, "k", *[None] * 8) for i, t in made]
+    return [(i, t, "en" if i and i % 2 else None, "s" if i and i % 3 else None, 1, 0.5, "k", *[None] * 11) for i, t in made]
 
 
 @pytest.fixture(scope="module")
@@ -158,6 +160,56 @@ def test_models_on_odd_rows(odd, empty, no_labels, spark):
     assert clean.keep and clean.quality is None
 
 
+def test_scores_match_plain_ones(labelled, small):
+    """The whole queries against plain Python: averaged vectors and softmax, ordered thresholds, features and best sequence of a CRF."""
+    docs, train, _ = labelled
+    text = {r.doc_id: r.text for r in small.collect()}
+    model = quality.fit_quality(docs, train)
+    for r in quality.classify_quality(small.where("length(text) < 4000"), model).collect():
+        want = brute.quality_scores(text[r.doc_id], model)[model.classes.index(1)]
+        assert r.quality == pytest.approx(want, abs=1e-5) and (r.keep == (want >= 0.5) or abs(want - 0.5) < 1e-5)
+    model = toxicity.fit_toxicity(docs, train)
+    for r in toxicity.score_toxicity(small, model).collect():
+        assert r.severity == pytest.approx(brute.severity(text[r.doc_id], model), abs=1e-9)
+    model = line_crf.fit_lines(docs, train)
+    for r in line_crf.label_lines(small, model).collect():
+        label = brute.content_lines(text[r.doc_id], model)
+        assert (r.n_lines, r.content_lines, r.boilerplate) == (len(label), sum(label.values()), [i for i in label if not label[i]])
+        size = {i: len("".join(text[r.doc_id].split("\n")[i].encode().decode().split())) for i in label}
+        assert 0 <= r.content_share <= 1 and (sum(label.values()) < len(label) or r.content_share == 1) and sum(size.values()) > 0
+
+
+def test_lines_of_mixed_documents(spark):
+    """Notices between lines of prose are learnt from their repeats, whatever their language, and taken out."""
+    rng = random.Random(12)
+    notices = ["alle rechte vorbehalten bei den verfassern", "cliquez ici pour vous abonner a la lettre", "<< zurueck | weiter >>"]
+    sentence = lambda: (words(rng, rng.randint(8, 14)) + ".").capitalize()
+    mixed = lambda: [x for _ in range(4) for x in (sentence(), rng.choice(notices))]
+    rows = [(i, "\n".join(mixed()), 1) for i in range(150)] + [(1000 + i, "\n".join(words(rng, 3).upper() + "!!" for _ in range(5)), 0) for i in range(50)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 2], "doc_id long, quality int")
+    model = line_crf.fit_lines(docs, labels)
+    got = {r.doc_id: r for r in line_crf.label_lines(docs, model).collect()}
+    right = [got[i].boilerplate == [n for n, x in enumerate(t.split("\n")) if x in notices] for i, t, q in rows if q and i % 2 == 0]
+    assert np.mean(right) > 0.9 and np.mean([got[i].keep == bool(q) for i, _, q in rows]) > 0.95
+    clean = {r.doc_id: r.text for r in line_crf.clean_texts(docs, model).collect()}
+    assert len(clean) == len(rows) and all("\n".join(x for n, x in enumerate(t.split("\n")) if n not in got[i].boilerplate) == clean[i] for i, t, _ in rows)
+
+
+def test_repeated_labelled_rows_do_not_grow_the_sample(spark, labelled):
+    docs, train, _ = labelled
+    from corvane.llm.common import labelled_sample
+
+    one = train.where("quality = 1").select("doc_id").first().doc_id
+    many = docs.where(F.col("doc_id") == one).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(3000)))).withColumn("text", F.concat("text", (F.col("x") % 40).cast("string"))).drop("x")
+    sample = lambda rows, size: labelled_sample(docs.unionByName(many), train, F.col("quality"), rows, size, "doc_id", "text").toPandas()
+    got = sample(50, 1 << 30)
+    assert got.doc_id.is_unique and (got.groupby("y").size() <= 50).all() and len(got) > 60
+    few = sample(50, 20_000)
+    for y, part in few.groupby("y"):
+        assert sum(len(t.encode()) for t in part.text) - max(len(t.encode()) for t in part.text) <= 20_000 and 0 < len(part) < (got.y == y).sum()
+
+
 # --- 3: decontamination ---------------------------------------------------------------------------------
 
 
@@ -354,6 +406,69 @@ def test_pairs_of_a_large_group_and_its_tiles(spark):
     assert {(r.doc_a, r.doc_b) for r in got} <= set(want)
 
 
+def near_copies(rng, n, most):
+    base, rows = words(rng, 120).split(), []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(1, most)):
+            w[at] = f"w{rng.random()}"
+        rows.append((f"id{i:04d}", " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("params", [ngram_join.JoinParams(), ngram_join.JoinParams(tile=8, bucket_tile=16, pivots=3, tile_size=2000)])
+def test_groups_take_edges_in_proportion(spark, monkeypatch, params):
+    """Near copies, with text ids: edges grow with the members and not with their square; the groups are those of all pairs."""
+    edges, stored = {}, ngram_join.Stored
+
+    class Counted(stored):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if name == "forest":
+                edges[n] = edges.get(n, 0) + self.df.count()
+
+    monkeypatch.setattr(ngram_join, "Stored", Counted)
+    for n in (50, 200):
+        rows = near_copies(random.Random(n), n, 5) + [(f"other{i}", words(random.Random(i), 60)) for i in range(20)]
+        left = {r.doc_id for r in ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id string, text string"), params).collect()}
+        root = brute.components(brute.similar_pairs(rows, 3, 0.5))
+        assert left == {i for i, _ in rows if root.get(i, i) == i}
+    assert edges[200] < 10 * edges[50] and edges[200] < 200 * 20  # all pairs would be 16 times as many; a member has an edge for each band at most
+
+
+def test_rows_equal_in_id_and_text(spark):
+    text = words(random.Random(1), 40)
+    docs = spark.createDataFrame([(1, text, "b"), (1, text, "a"), (None, text, "c"), (None, "two words", "d"), (None, "two words", "e"), (None, None, "f"), (None, None, "g")], "doc_id long, text string, n string")
+    left = sorted((r.doc_id is None, r.text is None, r.n) for r in ngram_join.drop_near_copies(docs).collect())
+    assert [x[:2] for x in left] == [(False, False), (True, False), (True, True), (True, True)]
+
+
+def test_filters_are_the_same_by_broadcast_and_by_shuffle(spark, odd):
+    from corvane.llm.common import Stored, by_keys
+
+    held = Stored(spark.createDataFrame([(1, "s"), (None, None), (4, "s")], "d int, s string"), "held")
+    keys = {"d": F.col("doc_id"), "s": F.col("source")}
+    for how in ("left_anti", "left_semi"):
+        got = [sorted(map(str, by_keys(odd, held, keys, how, most).collect())) for most in (1 << 20, 0)]
+        assert got[0] == got[1] and 0 < len(got[0]) < odd.count()
+    held.drop()
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(0)
+    for t in range(60):
+        m = int(rng.integers(1, 40))
+        g = rng.random((m, m)) < rng.choice([0.01, 0.05, 0.2, 0.9])
+        g |= g.T
+        label = rng.integers(0, m, m) if t % 2 else np.arange(m)
+        i, j, out = spanning_forest(label, lambda i, j: np.ones(len(i), bool), lambda i, j: g[i, j], at_once=50)
+        same = [(a, b) for a in range(m) for b in range(m) if label[a] == label[b]]
+        want = brute.components(same + list(zip(*np.nonzero(g))))
+        got = brute.components(same + list(zip(i.tolist(), j.tolist())))
+        groups = lambda c: {(a, b) for a in range(m) for b in range(m) if c[a] == c[b]}
+        assert groups(want) == groups(got) == groups(dict(enumerate(out.tolist()))) and len(i) < max(m, 1)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = ngram_join.least_matches(0.7, 0.005, [16, 64, 125])
     from math import comb
@@ -373,7 +488,7 @@ def test_pairs_on_odd_rows(odd, empty):
     left = ngram_join.drop_near_copies(odd)
     assert left.columns == odd.columns
     ids = [r.doc_id for r in left.collect()]
-    assert sorted(i for i in ids if i) == [1, 1, 4, 5, 6, 7, 8, 8, 10, 11, 12, 13] and ids.count(None) == 2
+    assert sorted(i for i in ids if i) == [1, 4, 5, 6, 7, 8, 8, 10, 11, 12, 13] and ids.count(None) == 1  # the null id with a text is a copy of 1
     assert ngram_join.drop_near_copies(empty).count() == 0
 
 
@@ -418,6 +533,36 @@ def test_lines_on_odd_rows(spark, odd, empty):
     assert out == {1: "Keep me here\n\nsame line of text", 2: "other words entirely", 3: None}
 
 
+def test_lines_with_text_ids_and_clashing_columns(spark):
+    base = "the meeting of the town council begins at nine in the old hall"
+    docs = spark.createDataFrame([("b", base, 1, 2), ("a", "first line here\n" + base.upper(), 3, 4), ("c", base.replace("nine", "ten"), 5, 6)], "doc_id string, text string, dedup_id int, dedup_lines int")
+    out = line_dedup.remove_duplicate_lines(docs, line_dedup.NEAR)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {"a": "first line here\n" + base.upper(), "b": "", "c": ""}
+
+
+def test_a_bucket_of_ten_thousand_lines(spark):
+    """Lines that differ in a number share their bands: one component, few edges; a stranger beside them stays."""
+    lines = [f"page {i} of this very long report on the state of the roads and bridges in the northern parts of the country" for i in range(10_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 100 : i * 100 + 100])) for i in range(100)] + [(1000, "something else altogether is written here")], "doc_id long, text string")
+    got = line_dedup.duplicate_lines(docs, line_dedup.NEAR).collect()
+    assert len(got) == 9_999 and {(r.keep_doc_id, r.keep_line_no) for r in got} == {(0, 0)}
+
+
+def test_distinct_lines_over_batches(monkeypatch):
+    monkeypatch.setattr(line_dedup.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})()))
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), rng.randrange(2), rng.randrange(4), rng.randrange(3)) for _ in range(200))
+    table = pa.table([*(pa.array(x, pa.int64()) for x in list(zip(*rows))[:3]), pa.array([r[3] for r in rows], pa.int32()), pa.array([f"{r[0]}-{r[1]}" for r in rows])], ["h1", "h2", "doc_id", "line_no", "line"])
+    want = {}
+    for a, b, d, n in rows:
+        want.setdefault((a, b), []).append((d, n))
+    for size in (1, 2, 7, 200):
+        got = pa.Table.from_batches(line_dedup._distinct(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        assert {(r["h1"], r["h2"]): (r["doc_id"], r["line_no"], r["n"], r["line"]) for r in got} == {x: (*min(p), len(set(p)), f"{x[0]}-{x[1]}") for x, p in want.items()}
+        assert [r["id"] for r in got] == list(range(3 << 32, (3 << 32) + len(want)))
+
+
 def test_shingles_stay_inside_lines():
     rng = random.Random(9)
     lines = [words(rng, 8), "", "short", "ab", words(rng, 9), "exactly8", "éééé"]
@@ -473,6 +618,22 @@ def test_mixture_hits_its_weights(spark):
     assert set(again[again.selected].doc_id) == set(taken.doc_id)
 
 
+def test_sample_matches_a_plain_cube(small):
+    """Same seed, same sample: probabilities by bisection, flight and landing in plain Python."""
+    p = cube.MixParams(miss=0.001, keep=0.4)
+    got = cube.mix_sources(small, p).toPandas()
+    rows = small.select("doc_id", "source", F.xxhash64("doc_id", "source", F.xxhash64("text")).alias("unit"), "text").collect()
+    tokens = {}
+    for r in rows:
+        tokens[r.source] = tokens.get(r.source, 0) + len(re.findall(r"\S+", r.text))
+    pi = brute.inclusion(tokens, p.alpha, p.miss, p.keep)
+    numbers = {s: i for i, s in enumerate(sorted(tokens))}
+    assert all(abs(r.probability - pi[r.source]) < 1e-6 for r in got.itertuples()) and 0.2 < got.selected.mean() < 0.9
+    exact = dict(zip(got.source, got.probability))
+    taken = brute.cube_sample([(numbers[r.source], r.unit, r.source, 1.0, float(len(re.findall(r"\S+", r.text)))) for r in rows], exact, p.seed)
+    assert set(got[got.selected].doc_id) == {r.doc_id for r in rows if r.unit in taken}
+
+
 def test_tiny_and_null_sources_do_not_set_the_size(spark):
     big = {"a": 900_000, "b": 600_000, "c": 400_000}
     before = cube.inclusion(big, cube.MixParams())
