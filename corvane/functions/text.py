@@ -6,6 +6,7 @@ values (null, empty text, 0, empty array) count as absent where ``truthy`` is us
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -73,8 +74,10 @@ def registry_id(v: Column | str) -> Column:
 
 
 def sample_size(v: Column | str) -> Column:
-    """First number, thousands separators removed; null unless positive."""
+    """A positive integer as it is; of a text the first number, thousands separators removed; else null."""
+    whole = F.when(F.typeof(_c(v)).isin("tinyint", "smallint", "int", "bigint"), _c(v).cast("string").try_cast("long"))
     n = F.regexp_replace(F.regexp_extract(_c(v).cast("string"), r"\d[\d,]*", 0), ",", "").try_cast("long")
+    n = F.when(F.typeof(_c(v)) == "boolean", F.lit(None)).otherwise(F.coalesce(whole, n))
     return F.when(n > 0, n)
 
 
@@ -112,9 +115,10 @@ def ends_sentence(v: Column | str) -> Column:
 
 
 def topic_label(v: Column | str) -> Column:
-    """Topic without decoration at its ends; generic labels become null."""
+    """Topic without decoration at its ends; generic labels and a person's name in the possessive become null."""
     x = F.regexp_replace(clean_text(v), r"^[ ,&/-]+|[ ,&/-]+$", "")
-    return F.when((x == "") | F.lower(x).isin(vocab.GENERIC_TOPICS), None).otherwise(x)
+    person = x.rlike("(?i)^[a-z][a-z .]*['’]s$")
+    return F.when((x == "") | F.lower(x).isin(vocab.GENERIC_TOPICS) | person, None).otherwise(x)
 
 
 def strip_heading(v: Column | str) -> Column:
@@ -153,17 +157,37 @@ def numbers_in_title(title: Column | str) -> Column:
 
 def slug(v: Column | str) -> Column:
     """Title as a path segment: prefix up to ``#n:`` dropped, accents folded, & spelt out."""
-    x = F.regexp_replace(fold_accents(_c(v)), r"^.*?#\d+\s*:?\s*", "")
+    x = F.regexp_replace(F.regexp_replace(fold_accents(_c(v)), "[^\\x{00}-\\x{7F}’]", ""), r"^.*?#\d+\s*:?\s*", "")
     x = F.regexp_replace(F.regexp_replace(F.lower(x), "&", " and "), "['’]", "")
     return F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """Letters that decompose to one ASCII letter or digit, those with what they become, marks to drop; letters that become several."""
+    one, many, marks = {}, {}, []
+    for c in map(chr, range(0x80, 0x30000)):
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and plain.isascii() and plain.isalnum() and ord(c) < 0x10000:
+            (one if len(plain) == 1 else many)[c] = plain
+    return "".join(one) + "".join(m for m in marks if ord(m) < 0x10000), "".join(one.values()), many
+
+
+_FROM, _TO, _SEVERAL = _fold_table()
 
 
 def fold_accents(v: Column | str) -> Column:
-    return F.translate(_c(v), _FROM, _TO)
+    """Letters without their marks, compatibility forms as plain letters (ő, ﬁ, Š, Ⅳ); other characters stay."""
+
+    def several(x: Column) -> Column:
+        # one letter at a time, and only in texts that have such letters at all
+        table = F.create_map(*[F.lit(y) for kv in _SEVERAL.items() for y in kv])
+        spelt = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        return F.when(x.rlike("[" + "".join(_SEVERAL) + "]"), spelt).otherwise(x)
+
+    return F.translate(let(_c(v), several), _FROM, _TO)
 
 
 def search_text(v: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import vocab
@@ -189,10 +189,16 @@ def link_study_type(label: Column | str, url: Column | str) -> Column:
 
 
 def is_dead(url: Column | str) -> Column:
-    """A URL that can't be opened: a written null or a host without a dot."""
-    u = F.lower(F.trim(_c(url)))
-    host = domain(u)
-    return F.coalesce(u.isin("", "null", "none", "https://null", "http://null") | ((host != "") & ~F.contains(host, F.lit("."))), F.lit(True))
+    """A URL that leads nowhere: a written null, the library's bare home page, or a host without a dot. A missing one isn't dead."""
+    u = F.trim(_c(url))
+    host = _part(u, 2)
+    home = f"https://pubmed.{LIBRARY}"
+    return F.coalesce(_c(url) != "", F.lit(False)) & (F.lower(u).isin("null", "none", home, f"{home}/") | ((host != "") & ~F.contains(host, F.lit("."))))
+
+
+def clear_dead(df: DataFrame, url: str) -> DataFrame:
+    """The table with dead URLs set to null."""
+    return df.withColumn(url, F.when(~is_dead(url), F.col(url)))
 
 
 def transcript_link(notes: Column | str, own_host: str) -> Column:

@@ -62,9 +62,10 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def in_range(points: DataFrame, ranges: DataFrame, group: str, at: str, start: str, end: str, keep: Sequence[str]) -> DataFrame:
-    """Each point with the first range of its group that holds it (``start <= at < end``), null columns if none."""
+    """Each point with the first range of its group that holds it (``start <= at < end``), null columns if none. Equal points stay apart."""
+    points = points.withColumn("_id", F.monotonically_increasing_id())
     right = ranges.select(F.col(group).alias("_g"), F.col(start).alias("_s"), F.col(end).alias("_e"), *keep)
     cond = (points[group] == right["_g"]) & (points[at] >= right["_s"]) & (points[at] < right["_e"])
     hit = points.join(right, cond, "left")
-    w = Window.partitionBy(*[points[c] for c in points.columns]).orderBy("_s")
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*points.columns, *keep)
+    w = Window.partitionBy("_id").orderBy("_s")
+    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*[c for c in points.columns if c != "_id"], *keep)

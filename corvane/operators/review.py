@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,24 +54,42 @@ def adjudicate_links(rows: DataFrame, links: str, selector, verb: str, at: str,
     return rows.withColumn(links, F.transform(links, decide))
 
 
-def containment(docs: DataFrame, text: str, quotes: DataFrame, quote: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """Pairs whose normalised text holds the normalised quote.
+def containment(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote: str) -> DataFrame:
+    """Pairs whose normalised text holds the normalised quote, as the columns of both; one plan at every size.
 
-    A quote's first 15 characters block the search, or all of a shorter one: the characters
-    at every place of a text are compared by an equi-join, ``contains`` settles the rest. While the quotes are
-    few (their bytes are counted first) they are broadcast and no text is shuffled.
+    A quote's inner words stand whole in any text that holds it. A run of three of them, one of
+    a quote of three or four words, or three letters of a shorter quote is its seed: seeds meet the texts' own in an equi-join of
+    narrow rows (key, seed), texts come back by ``key``, and ``contains`` settles the rest. Repeated rows
+    stay repeated; a key may be null or shared. Null quotes are in no text, an empty one is in all.
     """
-    size = quotes.agg(F.sum(F.octet_length(quote))).first()[0] or 0
-    if size <= most_bytes:
-        return docs.join(F.broadcast(quotes), F.contains(docs[text], quotes[quote]))
-    blocked = quotes.withColumn("_head", F.substring(quote, 1, 15))
-    lengths = sorted(r[0] for r in blocked.where(F.col("_head").isNotNull()).select(F.length("_head")).distinct().collect())  # 16 at most
-    places = lambda n: F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    cut = lambda n: F.transform(places(n), lambda i: F.substring(F.col(text), i, F.lit(n)))
-    windows = [cut(n) for n in lengths]
-    # each head of a text once, so that rows keep their number
-    shingled = docs.withColumn("_head", F.explode(F.array_distinct(F.concat(*windows))) if windows else F.lit(None).cast("string"))
-    return shingled.join(blocked, "_head").where(F.contains(F.col(text), F.col(quote))).drop("_head")
+    n, m = fresh(docs, "_key"), fresh(quotes, "_quote")
+    words, size = F.split(m, " "), F.size(F.split(m, " "))
+    runs = F.transform(F.sequence(F.lit(2), size - 3), lambda i: F.slice(words, i, 3))
+    # the longest run, as the likely rarest
+    longest = F.array_join(F.array_max(F.transform(runs, lambda r: F.struct(F.length(F.array_join(r, " ")).alias("n"), r.alias("r"))))["r"], " ")
+    seed = F.when(size >= 5, F.concat(F.lit("3 "), longest)).when(size >= 3, F.concat(F.lit("1 "), F.element_at(words, 2))).otherwise(F.concat(F.lit("c "), F.substring(m, 1, 3)))
+    asked = quotes.select(F.col(quote).alias(m)).where(F.col(m).isNotNull()).distinct().withColumn("_kind", F.when(size >= 5, 3).when(size >= 3, 1).otherwise(0)).withColumn("_seed", F.xxhash64(seed))
+
+    def seeds(kind: int, items: Column) -> DataFrame:
+        rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias(n), F.explode(F.array_distinct(items)).alias("_seed"))
+        return rows.join(asked.where(F.col("_kind") == kind), "_seed").select(n, m)
+
+    own = F.split(text, " ")
+    three = F.when(F.size(own) >= 3, F.transform(F.sequence(F.lit(1), F.size(own) - 2), lambda i: F.xxhash64(F.concat(F.lit("3 "), F.array_join(F.slice(own, i, 3), " ")))))
+    one = F.transform(own, lambda w: F.xxhash64(F.concat(F.lit("1 "), w)))
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    letters = F.flatten(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), lambda k: F.transform(places, lambda i: F.xxhash64(F.concat(F.lit("c "), F.substring(F.col(text), i, k))))))
+    pairs = reduce(DataFrame.unionByName, [seeds(3, three), seeds(1, one), seeds(0, letters)]).distinct()
+    found = docs.join(pairs, docs[key].eqNullSafe(F.col(n))).where(F.contains(F.col(text), F.col(m))).drop(n)
+    return found.join(quotes, F.col(m) == quotes[quote]).drop(m)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
 
 
 def verify_links(links: DataFrame, pool: DataFrame, on: Column, support: str, supports: Sequence[str], confidence: str, confidences: Sequence[str]) -> DataFrame:

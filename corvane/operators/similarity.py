@@ -73,6 +73,19 @@ def token_join(left: DataFrame, right: DataFrame, left_tokens: str, right_tokens
     return a.join(b, "_t").drop("_t")
 
 
+def covered(left: DataFrame, left_id: str, left_tokens: str, right: DataFrame, right_id: str, right_tokens: str, least: float, within: str | None = None) -> DataFrame:
+    """(left_id, right_id, score): share of the right side's distinct tokens that the left one has, from ``least`` on.
+
+    An inverted index: both sides' tokens meet in one equi-join and shared ones are counted, so only pairs with a common
+    token are made. ``within``: a column of both sides that must be equal.
+    """
+    also = [within] if within else []
+    a = left.select(left_id, *also, F.explode(F.array_distinct(left_tokens)).alias("_t"))
+    b = right.select(right_id, *also, F.size(F.array_distinct(right_tokens)).alias("_n"), F.explode(F.array_distinct(right_tokens)).alias("_t"))
+    shared = a.join(b, [*also, "_t"]).groupBy(left_id, right_id, "_n").agg(F.count("*").alias("_m"))
+    return shared.select(left_id, right_id, (F.col("_m") / F.col("_n")).alias("score")).where(F.col("score") >= least)
+
+
 def top_links(scored: DataFrame, statement: str, key: str, score: str, order: str, least: float = 0.2, k: int = 4) -> DataFrame:
     """Per statement the k best distinct keys from a score of ``least`` on, earliest first on ties."""
     good = scored.where(F.col(score) >= least)

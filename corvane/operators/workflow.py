@@ -85,6 +85,59 @@ def stale(current: DataFrame, stored: DataFrame, key: str, print_: str = "finger
     return stored.join(now, key, "left").where(~F.col(print_).eqNullSafe(F.col("_now"))).select(key)
 
 
+def cached_inventory(listed: DataFrame, known: DataFrame, number: str = "episode_number", url: str = "url") -> DataFrame:
+    """Listed episodes with the cached address of their number, where there is one, instead of the listed one."""
+    cached = known.where(F.col(number).isNotNull() & text.truthy(url)).groupBy(F.col(number).alias("_n")).agg(F.min_by(url, "ord").alias("_url"))
+    out = listed.join(cached, F.col(number) == F.col("_n"), "left")
+    return out.withColumn(url, F.coalesce("_url", url)).drop("_n", "_url")
+
+
+def captions_to_fetch(gaps: DataFrame, videos: DataFrame) -> DataFrame:
+    """Episodes without a transcript and the first video of their number."""
+    return gaps.join(caption_index(videos), "episode_number")
+
+
+def approved_statements(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Approved and attributed candidates as statement rows of known episodes."""
+    passed = candidates.where((F.col("review_status") == "approved") & text.truthy("reviewed_by"))
+    known = episodes.select(F.col("url").alias("episode_url"), F.col("title").alias("episode_title"), F.col("date").alias("episode_date"), "episode_number")
+    return passed.join(known, "episode_url").select("episode_url", "episode_title", "episode_date", "episode_number", F.col("statement").alias("pearl"), text.topic_label("topic").alias("topic"), text.statement_key("statement").alias("pearl_key"), "ord")
+
+
+def by_episode(mentions: DataFrame) -> DataFrame:
+    """Mentions in the order of their episodes' addresses, within one in input order."""
+    return mentions.orderBy(F.col("episode_url").asc_nulls_first(), "ord")
+
+
+def build_pool(transcripts: DataFrame, gaps: DataFrame, done: DataFrame, source: str | None = None, number: int | None = None, refresh: bool = False, limit: int | None = None) -> DataFrame:
+    """Eligible transcripts of uncovered episodes, without those done before unless refreshed, newest first."""
+    pool = joins.restrict(eligible_transcripts(transcripts, source), gaps, "episode_url")
+    if number is not None:
+        pool = pool.where(F.col("episode_number") == number)
+    if not refresh:
+        pool = joins.gap(pool, done, "episode_url")
+    return newest_first(pool, "episode_number", "episode_url", limit)
+
+
+def screening_pool(evidence: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
+    """Canonical records with a key that aren't screened yet, in gold order."""
+    pool = joins.gap(evidence.where(text.truthy("canonical_key")), done, "canonical_key").orderBy("id")
+    return pool.limit(limit) if limit else pool
+
+
+def enriched(mentions: DataFrame, lines: DataFrame, line_links: DataFrame, mention_id: str) -> DataFrame:
+    """Mentions with the details of the lines around their citation; what was there before is overwritten, also by null.
+
+    ``lines``: (episode_url, line_no, context); ``line_links``: (episode_url, line_no, label, url). Mentions that aren't located keep their values.
+    """
+    at = locate_citations(mentions, line_links, mention_id)
+    near = lines.select(F.col("episode_url").alias("_e"), F.col("line_no").alias("_at"), "context")
+    out = mentions.join(at, mention_id, "left").join(near, (F.col("episode_url") == F.col("_e")) & (F.col("line_no") == F.col("_at")), "left")
+    found = details("citation_label", "context", "pubmed_url")
+    kept = {c: F.when(F.col("_at").isNotNull(), found[c]).otherwise(F.col(c).cast(k)) for c, k in (("nct_id", "string"), ("sample_size", "long"), ("journal", "string"))}
+    return out.withColumns(kept).drop("_e", "_at", "context", "line_no")
+
+
 # --- selectors ---------------------------------------------------------------------------------------
 
 
@@ -110,6 +163,42 @@ def link_selector(episode: int | None = None, url: str | None = None, key: str |
     return F.coalesce(_all(tests), F.lit(False))
 
 
+def feedback_selector(row_id: int | None = None, key: str | None = None, reason: str | None = None, contains: str | None = None) -> Column:
+    """Condition on feedback rows. Refuses an empty selection."""
+    tests = [F.col(c) == v for c, v in (("id", row_id), ("pearl_key", key), ("reason_code", reason)) if v is not None]
+    if contains:
+        tests.append(F.contains(F.lower(F.coalesce("pearl_text_snapshot", F.lit(""))), F.lit(contains.lower())))
+    if not tests:
+        raise ValueError("an empty selection would take every row")
+    return F.coalesce(_all(tests), F.lit(False))
+
+
+def statement_filter(df: DataFrame, words: str = "", specialty: str | None = None, category: str | None = None, linked: bool = False) -> DataFrame:
+    """Statements by text in any of their fields, specialty, category, and whether evidence is linked; all together."""
+    tests: list[Column] = []
+    if linked:
+        tests.append(F.coalesce("evidence_link_count", F.lit(0)) > 0)
+    if specialty:
+        tests.append(F.array_contains("specialty_tags", specialty))
+    if category:
+        tests.append(F.array_contains("episode_categories", category))
+    if words.strip():
+        parts = [c for c in ("pearl", "topics", "segments", "clinical_topics", "specialty_tags", "episode_categories", "episode_titles", "citation_labels") if c in df.columns]
+        tests.append(F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(words.strip().lower())))
+    return df.where(F.coalesce(_all(tests), F.lit(False)))
+
+
+def by_key(evidence: DataFrame, key: str) -> DataFrame:
+    """The record of a citation that was followed."""
+    return evidence.where(F.col("canonical_key") == key).orderBy("id").limit(1)
+
+
+def feedback_rows(raw: DataFrame, imported_at: str) -> DataFrame:
+    """Feedback as it is kept: the source's columns, pending, with the time of import."""
+    source = "id submitted_at target_type pearl_key pearl_text_snapshot canonical_key reason_code comment episode_url".split()
+    return raw.select(*source, F.lit("pending").alias("review_status"), F.lit(imported_at).alias("imported_at"))
+
+
 # --- per-episode analysis --------------------------------------------------------------------------------
 
 

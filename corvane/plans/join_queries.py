@@ -125,7 +125,7 @@ def feedback_attach(t):
 def quote_verify(t):
     docs = t.documents.select("doc_id", text.quote_text("text").alias("n"))
     items = t.benchmark.where("length(trim(text)) >= 15").select("item_id", text.quote_text("text").alias("q"))
-    return review.containment(docs, "n", items, "q").select("doc_id", "item_id")
+    return review.containment(docs, "doc_id", "n", items, "q").select("doc_id", "item_id")
 
 
 @query("""

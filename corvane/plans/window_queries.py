@@ -13,11 +13,11 @@ from corvane.sources import markup
 catalog = Catalog()
 query = catalog.query
 
-_LINES = "l as (select doc_id, unnest(string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10))) as line, generate_subscripts(string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10)), 1) - 1 as line_no from documents where doc_id % 4 = 0)"
+_LINES = "l as (select doc_id, unnest(string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10))) as line, generate_subscripts(string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10)), 1) - 1 as line_no from documents)"
 
 
 def _lines(t):
-    return windows.lines_of(t.documents.where("doc_id % 4 = 0"), "text", "doc_id")
+    return windows.lines_of(t.documents, "text", "doc_id")
 
 
 @query(f"""
@@ -111,7 +111,7 @@ _TOK = "list_distinct(list_transform(list_filter(string_split({0}, ' '), lambda
 def statement_mention_links(t):
     docs = t.documents.select("doc_id", text.content_tokens("text").alias("w"), (F.col("doc_id") % 8).alias("block"))
     items = t.benchmark.select("item_id", text.content_tokens("text").alias("v"), (F.col("item_id") % 8).alias("block"))
-    scored = docs.join(items, "block").select("doc_id", "item_id", similarity.coverage(F.col("v"), F.col("w")).alias("score"))
+    scored = similarity.covered(docs, "doc_id", "w", items, "item_id", "v", 0.2, "block")
     return similarity.top_links(scored, "doc_id", "item_id", "score", "item_id").select("doc_id", "item_id", F.bround("score", 3).alias("score"), "rank")
 
 
@@ -269,9 +269,13 @@ def stream_dedupe(t):
 
 
 @query("""
-    with c as (select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as recent from events) select event_id, user_id, recent <= 2 as accepted from c""")
+    with recursive e as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events),
+    r as (select event_id, user_id, n, [ts] as held, true as accepted from e where n = 1
+        union all select x.event_id, x.user_id, x.n, case when x.few then list_append(x.recent, x.ts) else x.recent end, x.few
+        from (select e.*, list_filter(r.held, lambda t: t >= e.ts - interval 1 hour) as recent, len(list_filter(r.held, lambda t: t >= e.ts - interval 1 hour)) < 1 as few from r join e on e.user_id = r.user_id and e.n = r.n + 1) x)
+    select event_id, user_id, accepted from r""")
 def stream_quota(t):
     from corvane.streaming import intake
 
     events = intake.replay(t.spark, f"{t.sf_dir}/events.parquet")
-    return intake.run_once(t.spark, intake.quota(events, "user_id", "ts", "event_id", limit=2), "append").select("event_id", "user_id", "accepted")
+    return intake.run_once(t.spark, intake.quota(events, "user_id", "ts", "event_id", limit=1), "append").select("event_id", "user_id", "accepted")

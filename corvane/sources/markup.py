@@ -198,6 +198,52 @@ def repaired_json(reply: str | None, want: type) -> list | dict:
     return want()
 
 
+def parsed_reply(reply: str | None, want: type) -> tuple[str | None, str | None]:
+    """(JSON, error): a reply that holds no array or object, or is cut off, is an error and not an empty answer."""
+    value = repaired_json(reply, want)
+    if value:
+        return json.dumps(value), None
+    bare = re.sub(r"(?s)<think>.*?</think>|```(?:json)?", "", reply or "").strip()
+    try:
+        if isinstance(json.loads(bare), want | dict):
+            return json.dumps(value), None
+    except ValueError:
+        pass
+    return None, "empty reply" if not bare else "no complete JSON in the reply"
+
+
+def parse_replies(df: DataFrame, key: str, reply: str, want: type = list) -> DataFrame:
+    """(key, value, error): the JSON of each model reply, or why there is none; rows with an error are to be asked again."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, *parsed_reply(r, want)) for k, r in zip(pdf[key], pdf[reply])]
+            yield pd.DataFrame(rows, columns=[key, "value", "error"])
+
+    return df.select(key, reply).mapInPandas(run, f"{key} {kind}, value string, error string")
+
+
+def reader_pages(df: DataFrame, page: str, key: str) -> DataFrame:
+    return table_function(df, page, key, lambda t: [reader_page(t)], "title string, date string, notes string")
+
+
+def captions(df: DataFrame, vtt: str, key: str) -> DataFrame:
+    """(key, line_no, line): spoken lines of WebVTT captions."""
+    return table_function(df, vtt, key, lambda t: list(enumerate(caption_lines(t))), "line_no int, line string")
+
+
+def abstracts(df: DataFrame, xml: str, key: str) -> DataFrame:
+    """(key, title, abstract, journal, year, types) of citation records; those without an abstract give no row."""
+    names = ("title", "abstract", "journal", "year", "types")
+    rows = lambda t: [tuple(r[n] for n in names)] if (r := abstract_record(t)) else []
+    return table_function(df, xml, key, rows, "title string, abstract string, journal string, year int, types array<string>")
+
+
+def full_texts(df: DataFrame, xml: str, key: str) -> DataFrame:
+    return table_function(df, xml, key, lambda t: [(x,)] if (x := full_text(t)) else [], "full_text string")
+
+
 def call_model(df: DataFrame, key: str, prompt: str, model: Callable[[str], str]) -> DataFrame:
     """(key, ok, error, reply): an injected model over prompts; a failure marks its row and no other."""
     kind = df.schema[key].dataType.simpleString()

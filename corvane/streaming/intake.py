@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,18 +16,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and outputs: that of ``spark.checkpoint.dir``, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/corvane-streams-{spark.sparkContext.applicationId}"
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file or folder as a stream of files."""
     schema = spark.read.parquet(path).schema
-    if os.path.isdir(path):
+    p, fs = _folder(spark, path)
+    if fs.getFileStatus(p).isDirectory():
         return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
 
 
+def _folder(spark: SparkSession, path: str):
+    """(path, file system) of a place, whatever its scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def dedupe(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Rows of new keys; keys are forgotten once the watermark has passed them."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
@@ -42,9 +55,10 @@ def validated(stream: DataFrame, reasons: list[str], targets: list[str], limits:
 
 
 def quota(stream: DataFrame, key: str, ts: str, row_id: str, limit: int = 20, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
-    """(row_id, key, accepted): whether a row is within ``limit`` rows of its key in the trailing interval.
+    """(row_id, key, accepted): a row is accepted while its key has less than ``limit`` accepted rows in the interval up to it.
 
-    State per key: the timestamps of the trailing interval, dropped when the watermark passes them.
+    Refused rows don't count, so a key is free again once its accepted rows are past; rows later in time don't count
+    for a late one. State per key: the accepted timestamps of the interval before the watermark.
     """
     span = seconds * 1_000_000
     k, i = (stream.schema[c].dataType.simpleString() for c in (key, row_id))
@@ -53,14 +67,18 @@ def quota(stream: DataFrame, key: str, ts: str, row_id: str, limit: int = 20, se
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
+        held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["_us", row_id], kind="stable")
         told = []
-        for stamp, peers in rows.groupby("_us", sort=True):
-            recent = [x for x in recent if x >= stamp - span] + [stamp] * len(peers)
-            told += [len(recent) <= limit] * len(peers)
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(int(recent[-1]) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        for stamp in rows["_us"].tolist():
+            ok = sum(stamp - span <= x <= stamp for x in held) < limit
+            held += [stamp] * ok
+            told.append(ok)
+        # no row comes from before the watermark
+        oldest = state.getCurrentWatermarkMs() * 1000 - span
+        held = sorted(x for x in held if x >= oldest)
+        state.update((held,))
+        state.setTimeoutTimestamp(max((held[-1] if held else 0) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({row_id: rows[row_id].to_numpy(), key: rows[key].to_numpy(), "accepted": told})
 
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).withColumn("_us", F.unix_micros(ts))
@@ -78,17 +96,21 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Da
 def upsert(stream: DataFrame, target: str, group: str, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str):
     """Replace whole groups of a Parquet table with each micro-batch; ``merge(old, new)`` gives the new table.
 
-    The new version is written beside the old one and swapped in, so a lost batch leaves the old one.
+    Each batch writes a whole version ``v<number>`` beside the newest one that is complete, so a lost batch leaves
+    that one, and a batch that runs again starts from the same one. Raises if the folder holds something but
+    no version from before the batch, as with a new checkpoint on an old table.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         version = f"{target}/v{number}"
-        before = f"{target}/v{number - 1}"
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(before)
-        exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        merged = merge(spark.read.parquet(before), batch) if exists else batch
+        path, fs = _folder(spark, target)
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        complete = [int(x[1:]) for x in names if re.fullmatch(r"v\d+", x) and fs.exists(_folder(spark, f"{target}/{x}/_SUCCESS")[0])]
+        older = [v for v in complete if v < number]
+        if not older and [x for x in names if x != f"v{number}"]:
+            raise ValueError(f"{target} has no version before {number}")
+        merged = merge(spark.read.parquet(f"{target}/v{max(older)}"), batch) if older else batch
         merged.write.mode("overwrite").parquet(version)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

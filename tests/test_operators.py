@@ -48,19 +48,24 @@ def test_link_decisions_leave_the_record(spark):
     assert row.status == "pending" and [x.review_status for x in row.links] == ["approved", None]
 
 
-def test_containment_has_the_same_rows_either_way(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox jumps over"), (2, "short"), (3, None)], "d int, t string")
-    quotes = spark.createDataFrame([(1, "quick brown fox jumps"), (2, "a text nowhere to be found")], "q int, s string")
-    small = review.containment(docs, "t", quotes, "s").select("d", "q").collect()
-    large = review.containment(docs, "t", quotes, "s", most_bytes=0).select("d", "q").collect()
-    assert small == large == [(1, 1)]
+def test_quotes_of_every_length_and_repeated_rows(spark):
+    texts = [(1, "the quick brown fox jumps over it"), (1, "the quick brown fox jumps over it"), (2, "fox"), (3, None), (4, "a fox and a fox"), (None, "the quick brown fox"), (1, "another text of this key"), (5, "")]
+    asked = [(1, "fox"), (2, "quick brown"), (3, "the quick brown fox"), (4, ""), (5, None), (1, "fox"), (6, "uick brown fox jumps ov"), (7, "n fox j"), (8, "x"), (9, "ck bro"), (10, "and a"), (11, "a text nowhere to be found here")]
+    docs, quotes = spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(asked, "q int, s string")
+    got = sorted((str(r.d), r.t, r.q) for r in review.containment(docs, "d", "t", quotes, "s").collect())
+    assert got == sorted((str(d), t, q) for d, t in texts for q, s in asked if t is not None and s is not None and s in t)
 
 
-def test_short_quotes_and_repeated_rows_in_blocks(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (1, "the quick brown fox jumps over it"), (2, "fox"), (3, None), (4, "a fox and a fox")], "d int, t string")
-    quotes = spark.createDataFrame([(1, "fox"), (2, "quick brown"), (3, "the quick brown fox"), (4, ""), (5, None), (1, "fox")], "q int, s string")
-    small, large = (sorted((r.d, r.q) for r in review.containment(docs, "t", quotes, "s", most_bytes=n).select("d", "q").collect()) for n in (1 << 20, 0))
-    assert small == large and large.count((1, 1)) == 4 and (2, 1) in large
+def test_equal_points_stay_apart(spark):
+    points = spark.createDataFrame([("a", 3), ("a", 3), ("a", 9), (None, 1)], "g string, at int")
+    ranges = spark.createDataFrame([("a", 0, 5, "x"), ("a", 2, 6, "y")], "g string, s int, e int, name string")
+    got = joins.in_range(points, ranges, "g", "at", "s", "e", ["name"])
+    assert got.columns == ["g", "at", "name"] and sorted((str(r.g), r.at, str(r.name)) for r in got.collect()) == [("None", 1, "None"), ("a", 3, "x"), ("a", 3, "x"), ("a", 9, "None")]
+
+
+def test_covered_counts_shared_tokens(spark):
+    left, right = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, None)], "l int, w array<string>"), spark.createDataFrame([(7, ["a", "x", "b", "b"]), (8, ["c", "d"]), (9, [])], "r int, v array<string>")
+    assert sorted((x.l, x.r, round(x.score, 3)) for x in similarity.covered(left, "l", "w", right, "r", "v", 0.2).collect()) == [(1, 7, 0.667), (2, 8, 0.5)]
 
 
 def test_recovery_score(spark):
@@ -148,3 +153,21 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(rows, "g int, v string").coalesce(1).write.mode("append").parquet(src)
         intake.upsert(intake.replay(spark, src), target, "g", lambda old, new: joins.replace_groups(old, new, "g"), str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.g, r.v) for r in spark.read.parquet(f"{target}/v1").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_upsert_needs_its_table(spark, tmp_path):
+    src, target = str(tmp_path / "src"), str(tmp_path / "target")
+    spark.createDataFrame([(1, "a")], "g int, v string").coalesce(1).write.parquet(src)
+    spark.createDataFrame([(9, "old")], "g int, v string").write.parquet(f"{target}/v7")
+    run = intake.upsert(intake.replay(spark, src), target, "g", lambda old, new: joins.replace_groups(old, new, "g"), str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="no version before 0"):
+        run.awaitTermination()
+    assert spark.read.parquet(f"{target}/v7").count() == 1
+
+
+def test_quota_counts_accepted_rows_only(spark, tmp_path):
+    minutes = [0, 1, 2, 50, 61, 62, 63]
+    rows = [(i, 1, m) for i, m in enumerate(minutes)]
+    spark.createDataFrame(rows, "id int, u int, m int").selectExpr("id", "u", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m, 0) as ts").coalesce(1).write.parquet(str(tmp_path / "q"))
+    out = intake.run_once(spark, intake.quota(intake.replay(spark, str(tmp_path / "q")), "u", "ts", "id", limit=2))
+    assert {r.id: r.accepted for r in out.collect()} == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
