@@ -176,6 +176,8 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
 
 
 _FROM, _TO, _SEVERAL = _fold_table()
+#: Where letters that become several lie: a few ranges are quick to test, a class of hundreds of letters isn't.
+_MAY = "[\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3\u20a8\u2100-\u33ff\ua700-\ua7ff\ufb00-\uffff]"
 
 
 def fold_accents(v: Column | str) -> Column:
@@ -184,8 +186,8 @@ def fold_accents(v: Column | str) -> Column:
     def several(x: Column) -> Column:
         # one letter at a time, and only in texts that have such letters at all
         table = F.create_map(*[F.lit(y) for kv in _SEVERAL.items() for y in kv])
-        spelt = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-        return F.when(x.rlike("[" + "".join(_SEVERAL) + "]"), spelt).otherwise(x)
+        spelt = F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c.rlike(_MAY), F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
+        return F.when(x.rlike(_MAY), spelt).otherwise(x)
 
     return F.translate(let(_c(v), several), _FROM, _TO)
 

@@ -16,7 +16,12 @@ def facet_counts(df: DataFrame, facets: Mapping[str, str]) -> DataFrame:
     Values are trimmed, blank ones left out; a row counts once for each value that it has.
     """
     types = dict(df.dtypes)
-    lists = [F.transform(F.coalesce(F.col(c) if types[c].startswith("array") else F.array(F.col(c).cast("string")), F.array().cast("array<string>")), lambda v, name=name: F.struct(F.lit(name).alias("facet"), F.trim(v).alias("value"))) for name, c in facets.items()]
+
+    def pairs(name: str, c: str) -> Column:
+        values = F.col(c).cast("array<string>") if types[c].startswith("array") else F.array(F.col(c).cast("string"))
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(name).alias("facet"), F.trim(v).alias("value")))
+
+    lists = [pairs(name, c) for name, c in facets.items()]
     rows = df.select(F.explode(F.array_distinct(F.concat(*lists))).alias("f")).select("f.facet", "f.value").where("value <> ''")
     return rows.groupBy("facet", "value").agg(F.count("*").alias("n")).orderBy("facet", F.col("n").desc(), "value")
 

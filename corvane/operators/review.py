@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import decision, truthy
+from corvane.functions.text import decision, let, truthy
 
 
 def status_of(link: str, record: str) -> Column:
@@ -67,19 +67,23 @@ def containment(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote:
     runs = F.transform(F.sequence(F.lit(2), size - 3), lambda i: F.slice(words, i, 3))
     # the longest run, as the likely rarest
     longest = F.array_join(F.array_max(F.transform(runs, lambda r: F.struct(F.length(F.array_join(r, " ")).alias("n"), r.alias("r"))))["r"], " ")
-    seed = F.when(size >= 5, F.concat(F.lit("3 "), longest)).when(size >= 3, F.concat(F.lit("1 "), F.element_at(words, 2))).otherwise(F.concat(F.lit("c "), F.substring(m, 1, 3)))
+    seed = F.when(size >= 5, F.concat_ws(" ", F.lit("3"), longest)).when(size >= 3, F.concat(F.lit("1 "), F.element_at(words, 2))).otherwise(F.concat(F.lit("c "), F.substring(m, 1, 3)))
     asked = quotes.select(F.col(quote).alias(m)).where(F.col(m).isNotNull()).distinct().withColumn("_kind", F.when(size >= 5, 3).when(size >= 3, 1).otherwise(0)).withColumn("_seed", F.xxhash64(seed))
 
     def seeds(kind: int, items: Column) -> DataFrame:
         rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias(n), F.explode(F.array_distinct(items)).alias("_seed"))
         return rows.join(asked.where(F.col("_kind") == kind), "_seed").select(n, m)
 
-    own = F.split(text, " ")
-    three = F.when(F.size(own) >= 3, F.transform(F.sequence(F.lit(1), F.size(own) - 2), lambda i: F.xxhash64(F.concat(F.lit("3 "), F.array_join(F.slice(own, i, 3), " ")))))
-    one = F.transform(own, lambda w: F.xxhash64(F.concat(F.lit("1 "), w)))
+    # bound once: an expression over the text inside a lambda would be made again for every word
+    three = let(F.split(text, " "), lambda own: F.when(F.size(own) >= 3, F.transform(F.sequence(F.lit(1), F.size(own) - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.lit("3"), own[i - 1], own[i], own[i + 1])))))
+    one = F.transform(F.split(text, " "), lambda w: F.xxhash64(F.concat(F.lit("1 "), w)))
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     letters = F.flatten(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), lambda k: F.transform(places, lambda i: F.xxhash64(F.concat(F.lit("c "), F.substring(F.col(text), i, k))))))
-    pairs = reduce(DataFrame.unionByName, [seeds(3, three), seeds(1, one), seeds(0, letters)]).distinct()
+    kinds = [r[0] for r in asked.select("_kind").distinct().collect()]  # three at most; each needs its own seeds of the texts
+    parts = [seeds(kind, items) for kind, items in ((3, three), (1, one), (0, letters)) if kind in kinds]
+    if not parts:
+        return docs.join(quotes, F.contains(docs[text], quotes[quote])).limit(0)
+    pairs = reduce(DataFrame.unionByName, parts).distinct()
     found = docs.join(pairs, docs[key].eqNullSafe(F.col(n))).where(F.contains(F.col(text), F.col(m))).drop(n)
     return found.join(quotes, F.col(m) == quotes[quote]).drop(m)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import entity_queries, join_queries, text_queries, window_queries, workflow_queries
+from corvane.plans import entity_queries, join_queries, record_queries, text_queries, window_queries, workflow_queries
 
-MODULES = [text_queries, entity_queries, join_queries, window_queries, workflow_queries]
+MODULES = [text_queries, entity_queries, join_queries, window_queries, workflow_queries, record_queries]
 
 
 def queries() -> dict:

@@ -107,3 +107,16 @@ def test_domains(value):
     assert value(urls.link_study_type(s("A systematic review of trials"), s(None))) == "systematic review"
     assert value(urls.is_dead(s("https://null"))) and value(urls.is_dead(s("https://localhost/x"))) and not value(urls.is_dead(s("https://a.b/x")))
     assert value(urls.transcript_link(s("[Transcript](https://show.org/t.pdf) [x](https://else.org/transcript.pdf)"), "show.org")) == "https://show.org/t.pdf"
+
+
+def test_folding_covers_all_letters_that_decompose(spark):
+    import re
+    import unicodedata
+
+    assert all(re.fullmatch(text._MAY, c) for c in text._SEVERAL)
+    said = ["ő ﬁ Š Ⅳ ﬃ", "Crème Brûlée", "é Ǆ № ＡＢ", "Straße", None, ""]
+    plain = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
+    want = [re.sub("[^a-z0-9]+", " ", plain(v or "").lower()).strip() for v in said]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(said)], "i int, v string").orderBy("i")
+    assert [r.s for r in df.select("i", text.search_text("v").alias("s")).orderBy("i").collect()] == want
+    assert [r.s for r in df.select("i", text.slug("v").alias("s")).orderBy("i").collect()][1:2] == ["creme-brulee"]
