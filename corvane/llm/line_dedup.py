@@ -400,8 +400,8 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col:
     stars = Stored(bands.mapInArrow(_stars(p), "a long, b long, key long, apart boolean, ids array<long>, sketches array<int>"), "stars")
 
     sizes = distinct.df.select("id", F.length("line").alias("size"))
-    # lines are always shuffled: the same plan, and the same cost per byte, at every size
-    attach = lambda lists: distinct.df.select("id", F.col("line").alias("text")).hint("merge").join(lists, F.col("id") == F.col("d"))
+    # lines are always shuffled: the same plan, and the same cost per byte, at every size; the narrow side is hashed, so they aren't sorted
+    attach = lambda lists: distinct.df.select("id", F.col("line").alias("text")).join(lists.hint("shuffle_hash"), F.col("id") == F.col("d"))
     verified = lambda pairs: verified_pairs(pairs, attach, sizes, _sets(p.n), p.threshold, tile_size=4_000_000, dtype=np.uint32, connect=True).select("a", "b")
     edges = Stored(verified(stars.df.where("a is not null").select("a", "b").distinct()), "line_edges")
     roots = connected_components(edges.df)
@@ -416,12 +416,13 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col:
         table.drop()
     firsts = distinct.df.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     # only lines that have another one: in a component, or in several places
-    grouped = firsts.join(roots.df.withColumnRenamed("node", "id"), "id", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "id"))
-    kept = grouped.groupBy("root").agg(F.min("first").alias("keep"))
-    copies = Stored(grouped.join(kept, "root").select("h1", "h2", "keep"), "copies")
+    grouped = Stored(firsts.join(roots.df.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "id")), "groups")
     distinct.drop()
     roots.drop()
-    out = _lines(docs, id_col, text_col, False).join(copies.df, ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("keep")).groupBy("doc_id", "line_no").agg(F.min("keep").alias("keep"))
+    kept = grouped.df.groupBy("root").agg(F.min("first").alias("keep"))
+    copies = Stored(grouped.df.join(kept, "root").select("h1", "h2", "keep"), "copies")
+    grouped.drop()
+    out = _lines(docs, id_col, text_col, False).join(copies.df.hint("shuffle_hash"), ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("keep")).groupBy("doc_id", "line_no").agg(F.min("keep").alias("keep"))
     return out.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
 
 
