@@ -18,7 +18,7 @@ def spanning_forest(label: np.ndarray, allowed: Callable, alike: Callable, at_on
     _, label = np.unique(label, return_inverse=True)
     left, right = [], []
     low, rows = 0, 1
-    while low < m - 1 and (label != label[0]).any():
+    while low < m - 1 and (label[low:] != label[low]).any():
         high = min(m, low + rows)
         i, j = np.meshgrid(np.arange(low, high), np.arange(low, m), indexing="ij")
         ok = (i < j) & (label[i] != label[j])

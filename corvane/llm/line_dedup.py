@@ -7,10 +7,12 @@ them, distributed union-find joins what is left, and of each component only
 its first line (lowest document id, then line number) stays.
 
 Bands share signature values, two bands one value at most: as many bands cost fewer hashes.
-A band bucket gives a star of edges and not all its pairs; 32 bits of the signature tell which
-members are likely. Buckets whose star leaves members apart, before or after verification,
-are opened again: those members are compared with all others of the bucket, so the
-components are those of all candidate pairs.
+Lines that just happen to share a bucket grow with the square of the corpus, so each member brings
+64 bits of its signature: only pairs that are close in them are likely ones. A bucket gives the
+shortest forest of its likely pairs and not all of them. The lines that such edges connect, mostly a few, come
+together in one task, which compares them all by their whole sets. Where they are too many for a task, the edges are verified
+in tiled blocks, and a tree with an edge that is refused is opened again: its members that are still apart
+are compared with all others of the tree. Either way the components are those of all likely pairs at least.
 
 Defined results: null and empty texts have no lines; blank lines are never
 duplicates. A line shorter than a shingle is one shingle, all of it. Rows with
@@ -36,7 +38,12 @@ from pyspark.sql import functions as F
 from corvane.llm import kernel as k
 from corvane.llm.common import Stored, fresh, texts
 from corvane.llm.components import connected_components
-from corvane.llm.verify import verified_pairs
+from corvane.llm.forest import spanning_forest
+from corvane.llm.verify import packed, verified_pairs
+
+
+#: Bits of a sketch.
+BITS = 64
 
 
 @dataclass(frozen=True)
@@ -66,8 +73,8 @@ class LineParams:
     def most_bits(self) -> int:
         """Differing sketch bits up to which a pair is a candidate."""
         p, lost = (1 - self.threshold) / 2, 0.0
-        for d in range(32, -1, -1):
-            lost += comb(32, d) * p**d * (1 - p) ** (32 - d)
+        for d in range(BITS, -1, -1):
+            lost += comb(BITS, d) * p**d * (1 - p) ** (BITS - d)
             if lost > self.tolerance:
                 return d
         return 0
@@ -78,8 +85,12 @@ NEAR = LineParams(n=5)
 
 #: Lines that a task remembers; when there are more it forgets those seen once.
 REMEMBERED = 400_000
-#: Members of a band bucket in one row of the table of buckets.
+#: Members of a tree in one row of the table of trees.
 LIST = 4096
+#: Connected lines that one task compares with each other at most, and the bytes of their texts.
+TOGETHER, TOGETHER_BYTES = 4096, 16 << 20
+#: Members of a bucket up to which its forest is the shortest one.
+SHORTEST = 1024
 
 
 def char_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +140,7 @@ def char_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_keys(column: pa.Array, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, lines x bands; sketches of 32 bits) of non-empty lines."""
+    """(band keys, lines x bands; sketches of 64 bits) of non-empty lines."""
     rng = np.random.default_rng(p.seed)
     mult = rng.integers(0, 1 << 31, p.values, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     x, offsets = char_shingles(column, p.n)
@@ -146,9 +157,10 @@ def line_keys(column: pa.Array, p: LineParams) -> tuple[np.ndarray, np.ndarray]:
             # a fingerprint of all rows of the band, spread by one mix
             key = key * np.uint64(0x9E3779B97F4A7C15) + value[p.value(b, r)]
         keys[:, b] = k.mix(key)
-    sketch = np.zeros(len(column), np.uint32)
-    for bit in range(32):
-        sketch |= (value[bit % p.values] >> np.uint32(3) & np.uint32(1)) << np.uint32(bit)
+    sketch = np.zeros(len(column), np.uint64)
+    for bit in range(BITS):
+        # a bit of every value, then another bit of the first ones
+        sketch |= (value[bit % p.values] >> np.uint32(3 + bit // p.values) & np.uint32(1)).astype(np.uint64) << np.uint64(bit)
     return keys, sketch
 
 
@@ -269,16 +281,20 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([base + given], pa.int64()), pa.array([count], pa.int64()), *held.columns], ["id", "n", *names])
 
 
+#: Bytes of a band row.
+ROW = 17
+
+
 def _bucketed(p: LineParams, buckets: int):
     """(bucket, base, rows): band rows of a slice of lines, packed by the bucket of the key.
 
-    A band row is 13 bytes: 40 bits of the key, 32 of the line's number above ``base``, the sketch.
+    A band row is 17 bytes: 40 bits of the key, 32 of the line's number above ``base``, the sketch.
     A packed row stands for hundreds of them; Spark shuffles them as one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in k.slices(batch, "line"):
+            for part in k.slices(batch, "line", 1 << 20):  # a quarter faster than 2 MB: the hashes stay in the cache
                 keys, sketch = line_keys(part.column("line"), p)
                 ids = part.column("id").to_numpy()
                 base = ids >> 32 << 32
@@ -288,12 +304,12 @@ def _bucketed(p: LineParams, buckets: int):
                     bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)
                     order = np.argsort(bucket, kind="stable")
                     bucket = bucket[order]
-                    row = np.empty((len(key), 13), np.uint8)
+                    row = np.empty((len(key), ROW), np.uint8)
                     row[:, :5] = key.view(np.uint8).reshape(-1, 8)[:, :5]
                     row[:, 5:9] = np.repeat((ids[at] - b).astype(np.uint32), p.bands).view(np.uint8).reshape(-1, 4)
-                    row[:, 9:] = np.repeat(sketch[at], p.bands).view(np.uint8).reshape(-1, 4)
+                    row[:, 9:] = np.repeat(sketch[at], p.bands).view(np.uint8).reshape(-1, 8)
                     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                    offsets = np.r_[first, len(bucket)].astype(np.int32) * 13
+                    offsets = np.r_[first, len(bucket)].astype(np.int32) * ROW
                     packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(row[order])])
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), b)), packed], ["bucket", "base", "rows"])
 
@@ -308,15 +324,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
         if not len(column):
             continue
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 13)
-        many = np.diff(offsets) // 13
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, ROW)
+        many = np.diff(offsets) // ROW
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw[:, :5]
         key.append(wide.view(np.int64).ravel() | np.repeat(batch.column("bucket").to_numpy().astype(np.int64) << 40, many))
         ids.append(np.ascontiguousarray(raw[:, 5:9]).view(np.uint32).ravel() + np.repeat(batch.column("base").to_numpy(), many))
-        sketch.append(np.ascontiguousarray(raw[:, 9:]).view(np.int32).ravel())
+        sketch.append(np.ascontiguousarray(raw[:, 9:]).view(np.uint64).ravel())
     if not key:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     key, ids, sketch = (np.concatenate(x) for x in (key, ids, sketch))
     order = np.argsort(key)
     key = key[order]
@@ -328,11 +344,62 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
     return key[order], ids[order], sketch[order]
 
 
-def _stars(p: LineParams):
-    """Band rows of whole buckets -> edges (a, b, key), and members (key, apart, ids, sketches) of buckets of three or more.
+def bucket_forests(first: np.ndarray, size: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, tree): edges that connect what all likely pairs of each bucket connect, and of each member the first one of its tree.
 
-    An edge joins a member to the first one of its bucket, if their sketches are close;
-    ``apart``: some member of the bucket has no edge. The key of an edge is null in a bucket of two.
+    Bucket b: the places ``first[b]`` to ``first[b] + size[b]``. Buckets of about one size are done together, by Prim's
+    algorithm: the edges are the closest pairs, which verification refuses least. Only a bucket beyond ``SHORTEST`` members,
+    where that is slow, gives a star of its first member, and of those apart from it any edges.
+    """
+    tree, left, right = np.arange(len(sketch)), [], []
+    width = np.where(size <= 8, size, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    for w in np.unique(width[(size > 1) & (size <= SHORTEST)]).tolist():
+        held = np.flatnonzero(width == w)
+        for low in range(0, len(held), max(1, 500_000 // w)):
+            some = held[low : low + max(1, 500_000 // w)]
+            live = np.arange(w) < size[some, None]
+            at = first[some, None] + np.where(live, np.arange(w), 0)
+            bits, row = sketch[at], np.arange(len(some))
+            done = ~live
+            done[:, 0] = True
+            best = np.bitwise_count(bits ^ bits[:, :1])
+            best[done] = 255
+            near = np.zeros(at.shape, np.int16)
+            label = np.zeros(at.shape, np.int16)
+            for _ in range(int(size[some].max()) - 1):
+                i = best.argmin(1)
+                d, j = best[row, i], near[row, i]
+                edge = d <= most
+                left.append(at[row[edge], i[edge]])
+                right.append(at[row[edge], j[edge]])
+                # none is near: a new tree begins
+                label[row, i] = np.where(edge, label[row, j], np.where(d < 255, i, label[row, i]))
+                done[row, i] = True
+                now = np.bitwise_count(bits ^ bits[row, i][:, None])
+                now[done] = best[done] = 255
+                closer = now < best
+                best[closer] = now[closer]
+                near[closer] = np.broadcast_to(i[:, None], near.shape)[closer]
+            tree[at[live]] = at[row[:, None], label][live]
+    for b in np.flatnonzero(size > SHORTEST).tolist():
+        bits = sketch[first[b] : first[b] + size[b]]
+        close = np.bitwise_count(bits ^ bits[0]) <= most
+        order = np.argsort(close, kind="stable")  # those apart first: the rest need no rows of their own
+        bits, label = bits[order], np.where(close, size[b], np.arange(size[b]))[order]
+        i, j, label = spanning_forest(label, lambda i, j: np.ones(len(i), bool), lambda i, j: np.bitwise_count(bits[i] ^ bits[j]) <= most)  # noqa: B023
+        star = np.flatnonzero(close)[1:]
+        left += [first[b] + star, first[b] + order[i]]
+        right += [np.full(len(star), first[b]), first[b] + order[j]]
+        _, begin, label = np.unique(label, return_index=True, return_inverse=True)
+        tree[first[b] + order] = first[b] + order[begin[label]]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none), tree
+
+
+def _trees(p: LineParams):
+    """Band rows of whole buckets -> edges (a, b, key) of forests, and members (key, ids, sketches) of trees of three or more.
+
+    The key of an edge is that of its tree, null in a tree of two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,52 +407,147 @@ def _stars(p: LineParams):
         if not len(key):
             return
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        pivot = np.repeat(first, size)
-        close = np.bitwise_count(sketch ^ sketch[pivot]) <= p.most_bits
-        apart = np.add.reduceat((~close).astype(np.int64), first) > 0
-        edge = np.flatnonzero(close & (ids != ids[pivot]))
-        many = np.repeat(size > 2, size)
-        none = lambda n, kind: pa.nulls(n, kind)
-        lists, bits = pa.list_(pa.int64()), pa.list_(pa.int32())
-        names = ["a", "b", "key", "apart", "ids", "sketches"]
-        for low in range(0, len(edge), 500_000):
-            e = edge[low : low + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pivot[e]]), pa.array(ids[e]), pa.array(key[e], mask=~many[e]), none(len(e), pa.bool_()), none(len(e), lists), none(len(e), bits)], names)
-        # of long buckets several rows
+        a, b, tree = bucket_forests(first, np.diff(np.r_[first, len(key)]), sketch, p.most_bits)
+        many = (np.bincount(tree, minlength=len(tree)) > 2)[tree]
+        key = k.mix(key.view(np.uint64) + ids[tree].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)  # of the bucket and of the tree's first member
+        none = lambda n: pa.nulls(n, pa.list_(pa.int64()))
+        names = ["a", "b", "key", "ids", "sketches"]
+        for low in range(0, len(a), 500_000):
+            x, y = a[low : low + 500_000], b[low : low + 500_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(key[x], mask=~many[x]), none(len(x)), none(len(x))], names)
         at = np.flatnonzero(many)
         if not len(at):
             return
-        inside = (at - pivot[at]) % LIST == 0
-        begin = np.flatnonzero(inside)
+        # of long trees several rows
+        at = at[np.argsort(tree[at], kind="stable")]
+        start = np.flatnonzero(np.r_[True, tree[at][1:] != tree[at][:-1]])
+        inside = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+        begin = np.flatnonzero(inside % LIST == 0)
         for low in range(0, len(begin), 100_000):
             some = begin[low : low + 100_000]
             end = begin[low + 100_000] if low + 100_000 < len(begin) else len(at)
             rows = at[some[0] : end]
             offsets = pa.array((np.r_[some, end] - some[0]).astype(np.int32))
-            group = np.searchsorted(first, at[some], side="right") - 1
-            n = len(some)
-            yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), pa.array(key[at[some]]), pa.array(apart[group]), pa.ListArray.from_arrays(offsets, pa.array(ids[rows])), pa.ListArray.from_arrays(offsets, pa.array(sketch[rows]))], names)
+            n = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([n, n, pa.array(key[at[some]]), *(pa.ListArray.from_arrays(offsets, pa.array(x[rows].view(np.int64))) for x in (ids, sketch))], names)
 
     return run
 
 
-def _again(stars: DataFrame, roots: DataFrame, p: LineParams) -> DataFrame:
-    """(a, b): likely pairs of unequal components in the buckets that the stars left open."""
+def _again(trees: DataFrame, roots: DataFrame, p: LineParams) -> DataFrame:
+    """(a, b): likely pairs of unequal components in the trees that have a refused edge."""
     of = lambda c, x: roots.select(F.col("node").alias(c), F.col("root").alias(x))
-    edges = stars.where("a is not null and key is not null").select("a", "b", "key").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
-    opened = edges.where("ra is null or rb is null or ra != rb").select("key").unionByName(stars.where("apart").select("key")).distinct()
-    members = stars.where("a is null").join(opened, "key", "left_semi").select("key", F.explode(F.arrays_zip("ids", "sketches")).alias("m"))
+    edges = trees.where("a is not null and key is not null").select("a", "b", "key").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
+    opened = edges.where("ra is null or rb is null or ra != rb").select("key").distinct()
+    members = trees.where("a is null").join(opened, "key", "left_semi").select("key", F.explode(F.arrays_zip("ids", "sketches")).alias("m"))
     members = members.select("key", F.col("m.ids").alias("id"), F.col("m.sketches").alias("sketch")).join(of("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     sized = members.repartition("key").withColumn("like", F.count("*").over(Window.partitionBy("key", "label")))
     every = Window.partitionBy("key")
     sized = sized.withColumn("most", F.max_by("label", F.struct("like", "label")).over(every)).withColumn("total", F.count("*").over(every)).where("like < total")
     kept = Stored(sized.select("key", "id", "sketch", "label", (F.col("label") != F.col("most")).alias("loose")), "open")
     left = kept.df.where("loose").select("key", F.col("id").alias("x"), F.col("sketch").alias("sx"), F.col("label").alias("lx"))
-    pairs = left.join(kept.df, "key").where((F.col("lx") != F.col("label")) & (~F.col("loose") | (F.col("x") < F.col("id"))) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sketch")).bitwiseAND(F.lit(0xFFFFFFFF))) <= p.most_bits))
+    pairs = left.join(kept.df, "key").where((F.col("lx") != F.col("label")) & (~F.col("loose") | (F.col("x") < F.col("id"))) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sketch"))) <= p.most_bits))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
+def _compared(p: LineParams):
+    """Lines sorted by ``root`` -> (node, root): the components of all pairs of equal root that reach the threshold, without
+    single lines; a null node and the root, where the lines are too long for one task."""
+    sets_of, most = _sets(p.n), TOGETHER_BYTES
+
+    def joined(ids: np.ndarray, sets: list) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in sets])
+        if len(ids) == 2:
+            x, y = sets if size[0] > size[1] else sets[::-1]
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            same = both >= p.threshold * (len(x) + len(y) - both)
+            return (ids, np.full(2, ids[0])) if same else (ids[:0], ids[:0])
+        root, rest, queue = np.full(len(ids), -1), np.arange(len(ids)), []
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(flat, np.cumsum(size)[:-1])
+        there = np.zeros(int(flat.max()) + 1, bool)
+        while len(rest):
+            # each line is once compared with those that no line before it reached
+            if queue:
+                at = queue.pop()
+            else:
+                at, rest, queue = rest[0], rest[1:], []
+                root[at] = at
+                flat = np.concatenate([own[i] for i in rest]) if len(rest) else flat[:0]
+            if not len(rest):
+                break
+            there[own[at]] = True
+            both = np.add.reduceat(there[flat], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+            there[own[at]] = False
+            near = both >= p.threshold * (size[rest] + size[at] - both)
+            if near.any():
+                root[rest[near]] = root[at]
+                queue += rest[near].tolist()
+                flat, rest = flat[np.repeat(~near, size[rest])], rest[~near]
+        many = np.bincount(root, minlength=len(ids))[root] > 1
+        return ids[many], ids[root[many]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets, size = None, [], [], 0
+        out_node, out_root = [], []
+
+        def flush() -> None:
+            if size > most:
+                out_node.append(pa.nulls(1, pa.int64()))
+                out_root.append(pa.array([now]))
+            elif len(ids) > 1:
+                node, root = joined(np.array(ids), sets)
+                out_node.append(pa.array(node))
+                out_root.append(pa.array(root))
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(out_node), pa.concat_arrays(out_root)], ["node", "root"])
+
+        for batch in batches:
+            for part in k.slices(batch, "text"):
+                element, edge = packed(*sets_of(part.column("text")), part.num_rows, np.uint32)
+                edge = edge.tolist()
+                many = pc.binary_length(part.column("text")).to_pylist()
+                for r, (root, i) in enumerate(zip(part.column("root").to_pylist(), part.column("id").to_pylist())):
+                    if root != now:
+                        flush()
+                        now, ids, sets, size = root, [], [], 0
+                    size += many[r]
+                    if size > most:
+                        ids, sets = [], []
+                    else:
+                        ids.append(i)
+                        sets.append(element[edge[r] : edge[r + 1]])
+                if out_node:
+                    yield done()
+                    out_node, out_root = [], []
+        flush()
+        if out_node:
+            yield done()
+
+    return run
+
+
+def _in_blocks(trees: DataFrame, first: DataFrame, linked: DataFrame, nodes: DataFrame, p: LineParams) -> Stored:
+    """(node, root): the components among ``nodes``, which are too many for one task; their edges are verified, then what refused ones leave open."""
+    mine = lambda table, c: table.join(nodes, F.col("node") == c, "left_semi")
+    lines = Stored(mine(linked, F.col("id")).select("id", "text"), "crowded")
+    sizes = lines.df.select("id", F.length("text").alias("size"))
+    attach = lambda lists: lines.df.join(lists.hint("shuffle_hash"), F.col("id") == F.col("d"))
+    verified = lambda pairs: verified_pairs(pairs, attach, sizes, _sets(p.n), p.threshold, tile_size=4_000_000, dtype=np.uint32, connect=True).select("a", "b")
+    edges = Stored(verified(mine(first, F.col("a"))), "line_edges")
+    roots = connected_components(edges.df)
+    again = Stored(_again(mine(trees, F.coalesce("a", F.col("ids")[0])), roots.df, p), "line_pairs")
+    if not again.df.isEmpty():
+        more = Stored(edges.df.unionByName(verified(again.df)), "line_edges")
+        roots.drop()
+        roots = connected_components(more.df)
+        more.drop()
+    for table in (edges, again, lines):
+        table.drop()
+    return roots
+
+
 def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no): each line that goes, and the line that stays for it."""
     p = params
@@ -395,24 +557,24 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col:
     distinct = Stored(ordered.mapInArrow(_distinct, f"id long, n long, h1 long, h2 long, doc_id {kind}, line_no int, line string"), "lines")
 
     # partitions of bounded size, however many lines there are
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.df.count() * p.bands * 13 // p.partition))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.df.count() * p.bands * ROW // p.partition))
     bands = distinct.df.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket int, base long, rows binary").repartitionById(buckets, "bucket")
-    stars = Stored(bands.mapInArrow(_stars(p), "a long, b long, key long, apart boolean, ids array<long>, sketches array<int>"), "stars")
-
-    sizes = distinct.df.select("id", F.length("line").alias("size"))
-    # lines are always shuffled: the same plan, and the same cost per byte, at every size; the narrow side is hashed, so they aren't sorted
-    attach = lambda lists: distinct.df.select("id", F.col("line").alias("text")).join(lists.hint("shuffle_hash"), F.col("id") == F.col("d"))
-    verified = lambda pairs: verified_pairs(pairs, attach, sizes, _sets(p.n), p.threshold, tile_size=4_000_000, dtype=np.uint32, connect=True).select("a", "b")
-    edges = Stored(verified(stars.df.where("a is not null").select("a", "b").distinct()), "line_edges")
-    roots = connected_components(edges.df)
-    again = Stored(_again(stars.df, roots.df, p), "line_pairs")
-    stars.drop()
-    if not again.df.isEmpty():
-        more = Stored(edges.df.unionByName(verified(again.df)), "line_edges")
-        roots.drop()
-        roots = connected_components(more.df)
-        more.drop()
-    for table in (edges, again):
+    trees = Stored(bands.mapInArrow(_trees(p), "a long, b long, key long, ids array<long>, sketches array<long>"), "trees")
+    first = Stored(trees.df.where("a is not null").select("a", "b").distinct(), "line_pairs")
+    likely = connected_components(first.df)
+    sized = likely.df.select(F.col("node").alias("d"), F.when(F.count("*").over(Window.partitionBy("root")) <= TOGETHER, F.col("root")).alias("root"))
+    # all lines are shuffled: the same plan, and the same cost per byte, at every size; the narrow side is hashed, so they aren't sorted
+    linked = Stored(distinct.df.select("id", F.col("line").alias("text")).join(sized.hint("shuffle_hash"), F.col("id") == F.col("d")).select("id", "text", "root"), "linked")
+    together = linked.df.where("root is not null").repartition("root").sortWithinPartitions("root", "id")
+    roots = Stored(together.mapInArrow(_compared(p), "node long, root long"), "roots")
+    crowded = likely.df.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("root")
+    open_ = Stored(crowded.unionByName(roots.df.where("node is null").select("root")), "open")
+    tables = [likely, first, trees, linked, open_]
+    if not open_.df.isEmpty():
+        more = _in_blocks(trees.df, first.df, linked.df, likely.df.join(open_.df, "root", "left_semi").select("node"), p)
+        tables += [roots, more]
+        roots = Stored(roots.df.where("node is not null").unionByName(more.df), "roots")
+    for table in tables:
         table.drop()
     firsts = distinct.df.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     # only lines that have another one: in a component, or in several places

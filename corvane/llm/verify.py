@@ -52,7 +52,7 @@ def verified_pairs(pairs: DataFrame, attach: Callable, sizes: DataFrame, sets_of
 
         for batch in batches:
             for part in k.slices(batch, "text"):
-                element, edge = _packed(*sets_of(part.column("text")), part.num_rows, dtype)
+                element, edge = packed(*sets_of(part.column("text")), part.num_rows, dtype)
                 edge = edge.tolist()
                 out_a, out_b, out_j = [], [], []
                 for r, (key, a, b) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "a", "b")))):
@@ -84,7 +84,7 @@ def verified_pairs(pairs: DataFrame, attach: Callable, sizes: DataFrame, sets_of
     return rows.mapInArrow(compare, "a long, b long, jaccard double")
 
 
-def _packed(row: np.ndarray, element: np.ndarray, rows: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+def packed(row: np.ndarray, element: np.ndarray, rows: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     """(elements, offsets): the distinct elements of each row, sorted; short sorts, one for each row."""
     edge = np.searchsorted(row, np.arange(rows + 1)).tolist()
     sets = [np.sort(element[a:b]) for a, b in zip(edge, edge[1:])]

@@ -549,6 +549,61 @@ def test_a_bucket_of_ten_thousand_lines(spark):
     assert len(got) == 9_999 and {(r.keep_doc_id, r.keep_line_no) for r in got} == {(0, 0)}
 
 
+def test_lines_that_share_a_band_by_chance_are_no_candidates():
+    """They grow with the square of the lines: all but a few must go before anything is joined, and no near copy with them."""
+    rng, p = random.Random(12), line_dedup.NEAR
+    lines = list({" ".join("".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(25)) for _ in range(4000)})
+    near = [x[:60] + "zz" + x[62:] for x in lines]
+    keys, sketch = line_dedup.line_keys(pa.array(lines + near), p)
+    apart = np.bitwise_count(sketch[: len(lines)] ^ sketch[len(lines) :])
+    assert (apart <= p.most_bits).mean() > 0.99
+    held = {}
+    for i, row in enumerate(keys[: len(lines)].tolist()):
+        for x in row:
+            held.setdefault(x, []).append(i)
+    i, j = np.array([(a, b) for x in held.values() for n, a in enumerate(x) for b in x[n + 1 :]]).T
+    assert len(i) > 100 and (np.bitwise_count(sketch[i] ^ sketch[j]) <= p.most_bits).mean() < 0.2
+
+
+def test_bucket_forests_connect_what_likely_pairs_connect(monkeypatch):
+    rng = np.random.default_rng(13)
+    size = np.array([1, 2, 3, 5, 8, 9, 12, 16, 17, 40, 70, 2, 3])
+    first = np.cumsum(size) - size
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    sketch = base[rng.integers(0, 40, size.sum())]
+    for _ in range(7):
+        sketch = sketch ^ np.uint64(1) << rng.integers(0, 64, len(sketch)).astype(np.uint64)
+    for most in (4, 9, 12):
+        likely = [(a, b) for f, n in zip(first.tolist(), size.tolist()) for a in range(f, f + n) for b in range(a + 1, f + n) if np.bitwise_count(sketch[a] ^ sketch[b]) <= most]
+        for shortest in (1024, 4):
+            monkeypatch.setattr(line_dedup, "SHORTEST", shortest)
+            i, j, tree = line_dedup.bucket_forests(first, size, sketch, most)
+            assert {(min(e), max(e)) for e in zip(i.tolist(), j.tolist())} <= set(likely)
+            want = brute.components(likely + [(a, a) for a in range(len(sketch))])
+            assert brute.components([*zip(i.tolist(), j.tolist()), *((a, a) for a in range(len(sketch)))]) == want
+            assert brute.components(enumerate(tree.tolist())) == want and (tree[tree] == tree).all()
+            assert len(i) == len(sketch) - len(set(want.values()))
+
+
+@pytest.mark.parametrize("together, size", [(4096, 16 << 20), (3, 16 << 20), (4096, 2000), (1, 1)])
+def test_connected_lines_in_one_task_and_in_blocks(spark, monkeypatch, together, size):
+    """Groups of near copies, some of them just below the threshold from each other: the same lines go whichever way they are compared."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    monkeypatch.setattr(line_dedup, "TOGETHER_BYTES", size)
+    rng, rows = random.Random(14), []
+    for group in range(6):
+        base = words(rng, 40).split()
+        for _ in range((2, 3, 5, 20, 30, 40)[group]):
+            w = list(base)
+            for at in rng.sample(range(40), rng.randint(0, 6)):
+                w[at] = words(rng, 1)
+            rows.append((len(rows), words(rng, 12) + "\n" + " ".join(w)))
+    want = brute.duplicate_lines(rows, 5, 0.7)
+    got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.NEAR).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) > 50
+    assert sum(got[x] == want[x] for x in got) >= 0.97 * len(got)
+
+
 def test_distinct_lines_over_batches(monkeypatch):
     monkeypatch.setattr(line_dedup.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})()))
     rng = random.Random(3)
