@@ -1,7 +1,7 @@
 """Operator 8, n-gram Jaccard join with Bayesian candidate pruning.
 
 Documents are sets of word n-grams. Texts with equal word sequences collapse
-first and come back as pairs of similarity 1 at the end. The others get MinHash
+first and come back at the end, as pairs of similarity 1 or by their number. The others get MinHash
 signatures; banded signatures give candidates. A candidate's signatures are
 compared a few values at a time: as soon as the posterior probability that its
 similarity reaches the threshold falls below the tolerance, the pair is
@@ -12,17 +12,21 @@ Verification ships each document's set to the few blocks of similar documents
 it has pairs in; large blocks are tiled, so no task holds more than two tiles
 of sets and no pair is lost. Only narrow rows are shuffled before that.
 
-Where groups are wanted and not pairs (``drop_near_copies``), a bucket gives a
+The pairs of a group of n copies are n^2/2 rows, so the query gives a row for each document (``linked_documents``):
+its class, which links connect, and its number of links. Links are found between different texts and counted
+with the documents that have them; no link is left out, and copies aren't expanded.
+
+Where groups are wanted and not links (``drop_near_copies``), a bucket gives a
 spanning forest of its likely pairs, which grows with its members and not with
 their square. A pair that verification refuses leaves its bucket open: in a second
 round the open buckets' members that are still apart get new edges, in a third one
 all their pairs, so the groups are those of all pairs.
 
 Defined results: a text of fewer than ``n`` words is one n-gram, all of it;
-texts without words (null, empty) are in no pair. A pair has two different
+texts without words (null, empty) are in no pair: a class of their own, without links. A pair has two different
 ids of any type that has an order, the lower first; rows with a null id are left
-out of pairs. Repeated rows of one id count once; an id with several texts takes
-its highest similarity.
+out of pairs and classes. Repeated rows of one id count once; an id with several texts takes
+its highest similarity, and its links are those of all its texts.
 """
 
 from __future__ import annotations
@@ -332,14 +336,66 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts(docs, id_col, text_col).where("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), "text")
 
 
+def _rep_pairs(src: DataFrame, reps: DataFrame, p: JoinParams) -> Stored:
+    """(a, b, jaccard): all pairs of texts whose n-gram sets reach the threshold."""
+    left = Stored(_pruned(reps, p), "pruned")
+    pairs = Stored(_verified(left.df, src, reps, p, False), "pairs")
+    left.drop()
+    return pairs
+
+
+def linked_documents(docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links): of each document the least id of its class, and with how many other documents it reaches the threshold.
+
+    A class is what links connect. One row for each id, whatever its text; without links it is a class of its own.
+    """
+    p = params
+    src = _source(docs, id_col, text_col).where("doc_id is not null")
+    signed = Stored(_signed(src, p), "signed")
+    reps = _representatives(signed.df)
+    members = Stored(signed.df.join(reps.df.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("doc_id", "rep").distinct(), "members")
+    signed.drop()
+    pairs = _rep_pairs(src, reps.df, p)
+    reps.drop()
+    # ids with several texts are few, if any; their links may overlap, so they are counted apart
+    several = Stored(members.df.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("doc_id", "least"), "several")
+    some = not several.df.isEmpty()
+    many = members.df.join(several.df, "doc_id")
+    single = members.df.join(several.df, "doc_id", "left_anti") if some else members.df
+    own = single.groupBy("rep").agg(F.count("*").alias("own"))
+    if some:
+        own = own.unionByName(many.select("rep", F.lit(0).cast("long").alias("own"))).groupBy("rep").agg(F.max("own").alias("own"))
+    own = Stored(own, "own")
+    near = pairs.df.select(F.col("a").alias("rep"), F.col("b").alias("s")).unionByName(pairs.df.select(F.col("b").alias("rep"), F.col("a").alias("s"))).unionByName(own.df.select("rep", F.col("rep").alias("s")))
+
+    def counted(seen: DataFrame, key: str) -> DataFrame:
+        """Other documents with a text in ``seen``: distinct rows (key, s), with the text of the document itself."""
+        out = seen.join(own.df.withColumnRenamed("rep", "s"), "s").groupBy(key).agg((F.sum("own") - 1).alias("links"))
+        if not some:
+            return out
+        others = seen.join(many.select(F.col("rep").alias("s"), F.col("doc_id").alias("other")), "s").groupBy(key).agg(F.countDistinct("other").alias("more"))
+        return out.join(others, key, "left").select(key, (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
+
+    links, edges = single.join(counted(near, "rep"), "rep").select("doc_id", "links"), pairs.df.select("a", "b")
+    if some:
+        links = links.unionByName(counted(many.select("doc_id", "rep").join(near, "rep").select("doc_id", "s").distinct(), "doc_id"))
+        edges = edges.unionByName(many.select(F.col("least").alias("a"), F.col("rep").alias("b")))
+    roots = connected_components(edges)
+    grouped = members.df.join(roots.df.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).distinct()
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    found = Stored(grouped.join(least, "root").select("doc_id", "class_id").join(links, "doc_id"), "linked")
+    for table in (members, pairs, several, own, roots):
+        table.drop()
+    every = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
+    return every.join(found.df, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def similar_pairs(docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, jaccard): all pairs of documents whose n-gram sets reach the threshold."""
     p = params
     src = _source(docs, id_col, text_col).where("doc_id is not null")
     reps = _representatives(_signed(src, p), F.collect_set("doc_id").alias("ids"))
-    left = Stored(_pruned(reps.df, p), "pruned")
-    pairs = Stored(_verified(left.df, src, reps.df, p, False), "pairs")
-    left.drop()
+    pairs = _rep_pairs(src, reps.df, p)
     members = Stored(reps.df.select("rep", "ids"), "members")
     reps.drop()
     of = lambda x: members.df.select(F.col("rep").alias(x), F.col("ids").alias(f"i{x}"))

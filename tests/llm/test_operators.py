@@ -406,6 +406,51 @@ def test_pairs_of_a_large_group_and_its_tiles(spark):
     assert {(r.doc_a, r.doc_b) for r in got} <= set(want)
 
 
+def brute_links(rows):
+    """Id -> (least id of its class, number of links), from all pairs."""
+    pairs = brute.similar_pairs(rows, 3, 0.5)
+    root, links = brute.components(pairs), {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    return {i: (root.get(i, i), links.get(i, 0)) for i, _ in rows if i is not None}
+
+
+def test_query_gives_one_row_for_each_document(spark, tmp_path):
+    """Exact and near copies, as many rows as documents: 60 copies alone would be 1,770 pairs."""
+    rng = random.Random(21)
+    base = words(rng, 100).split()
+    rows = [(i, " ".join(base)) for i in range(60)]
+    for i in range(60, 80):
+        w = list(base)
+        w[i] = f"w{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, words(rng, 50)) for i in range(80, 100)] + [(100, None), (101, "  "), (102, "x"), (103, "x"), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert len(got) == 104
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == brute_links(rows)
+
+
+def test_links_of_ids_with_several_texts(spark):
+    """A document of two texts links the classes of both; whoever has a text like either one counts once."""
+    rng = random.Random(22)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [("e", a), ("e", b), ("f", a), ("f", b), ("g", b), ("h", a + " more"), ("i", c), ("j", c + " more"), ("j", "other words"), ("k", "other words"), ("l", None), ("g", None), ("e", a)]
+    got = ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id string, text string"), ngram_join.JoinParams(tile=2, bucket_tile=2)).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == brute_links(rows) and len(got) == 8
+    assert {r.doc_id: r.links for r in got}["e"] == 3
+
+
+def test_links_match_brute_force(small, odd, empty):
+    want = brute_links([(r.doc_id, r.text) for r in odd.collect()])
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.linked_documents(odd).collect()} == want
+    want = brute_links([(r.doc_id, r.text) for r in small.collect()])
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.linked_documents(small).collect()}
+    assert set(got) == set(want) and sum(got[i] == want[i] for i in got) >= 0.9 * len(want)
+    assert all(got[i][1] <= want[i][1] for i in got)
+    assert ngram_join.linked_documents(empty).count() == 0
+
+
 def near_copies(rng, n, most):
     base, rows = words(rng, 120).split(), []
     for i in range(n):
