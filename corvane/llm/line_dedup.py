@@ -87,6 +87,8 @@ NEAR = LineParams(n=5)
 REMEMBERED = 400_000
 #: Members of a tree in one row of the table of trees.
 LIST = 4096
+#: Partitions that the places of a frequent line are spread over at most.
+SPREAD = 64
 #: Connected lines that one task compares with each other at most, and the bytes of their texts.
 TOGETHER, TOGETHER_BYTES = 4096, 16 << 20
 #: Members of a bucket up to which its forest is the shortest one.
@@ -201,46 +203,39 @@ def _digests(line: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def _rows(once: bool):
-    """Lines of documents; with ``once``, of equal lines in a task only the first, a second
-    place of it, and every place below all before: a line that millions of documents hold is
-    so shuffled a few times for each task, not once for each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], tuple] = {}  # line -> least place, whether it had another one
-        for batch in batches:
-            for part in k.slices(batch, "text"):
-                row, number, line = split_lines(part.column("text"))
-                if not len(row):
-                    continue
-                h = _digests(line)
-                doc = part.column("doc_id").take(pa.array(row))
-                out = pa.RecordBatch.from_arrays([doc, pa.array(number), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "line_no", "h1", "h2"])
-                if once:
-                    keep = []
-                    for i, (x, place) in enumerate(zip(zip(*h.T.tolist()), zip(doc.to_pylist(), number.tolist()))):
-                        if (before := seen.get(x)) is None:
-                            seen[x] = (place, False)
-                        elif place == before[0] or before[1] and place > before[0]:
-                            continue
-                        else:
-                            seen[x] = (min(place, before[0]), True)
-                        keep.append(i)
-                    if len(seen) > REMEMBERED:
-                        seen = {x: y for x, y in seen.items() if y[1]}
-                        if len(seen) > REMEMBERED // 2:
-                            seen = {}
-                    out = pa.RecordBatch.from_arrays([*out.columns, line], [*out.schema.names, "line"]).take(pa.array(keep, pa.int64()))
-                yield out
-
-    return run
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str, once: bool) -> DataFrame:
-    """(doc_id, line_no, h1, h2, line); both hashes together tell lines apart. The line only with ``once``."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of documents by their hashes; of equal lines in a task only the first, a second place of it, and
+    every place below all before have the line itself: a line that millions of documents hold so
+    travels a few times for each task, not once for each document."""
+    seen: dict[tuple[int, int], tuple] = {}  # line -> least place, whether it had another one
+    for batch in batches:
+        for part in k.slices(batch, "text"):
+            row, number, line = split_lines(part.column("text"))
+            if not len(row):
+                continue
+            h = _digests(line)
+            doc = part.column("doc_id").take(pa.array(row))
+            keep = np.ones(len(row), bool)
+            for i, (x, place) in enumerate(zip(zip(*h.T.tolist()), zip(doc.to_pylist(), number.tolist()))):
+                if (before := seen.get(x)) is None:
+                    seen[x] = (place, False)
+                elif place == before[0] or before[1] and place > before[0]:
+                    keep[i] = False
+                else:
+                    seen[x] = (min(place, before[0]), True)
+            if len(seen) > REMEMBERED:
+                seen = {x: y for x, y in seen.items() if y[1]}
+                if len(seen) > REMEMBERED // 2:
+                    seen = {}
+            line = pc.if_else(pa.array(keep), line, pa.scalar(None, line.type))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(number), pa.array(h[:, 0]), pa.array(h[:, 1]), line], ["doc_id", "line_no", "h1", "h2", "line"])
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, h1, h2, line); both hashes together tell lines apart."""
     src = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_rows(once), f"doc_id {kind}, line_no int, h1 long, h2 long" + ", line string" * once)
+    return src.mapInArrow(_rows, f"doc_id {kind}, line_no int, h1 long, h2 long, line string")
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +276,33 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([base + given], pa.int64()), pa.array([count], pa.int64()), *held.columns], ["id", "n", *names])
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by line and place -> those of ``_distinct``, and of each other place its hashes, without id, number and line."""
+    rest: list = []
+
+    def kept() -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+            held = batch.column("line").is_valid().to_numpy(zero_copy_only=False)
+            first = np.r_[last != (int(h1[0]), int(h2[0])), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] & held
+            last = int(h1[-1]), int(h2[-1])
+            other = batch.filter(pa.array(~first))
+            if n := other.num_rows:
+                none = pa.nulls(n, pa.int64())
+                names = ["h1", "h2", "doc_id", "line_no"]
+                rest.append(pa.RecordBatch.from_arrays([none, none, *(other.column(c) for c in names), pa.nulls(n, pa.string())], ["id", "n", *names, "line"]))
+            yield batch if held.all() else batch.filter(pa.array(held))
+
+    for done in _distinct(kept()):
+        yield done
+        while rest:
+            yield rest.pop()
+    yield from rest
+
+
 #: Bytes of a band row.
 ROW = 17
 
@@ -551,20 +573,23 @@ def _in_blocks(trees: DataFrame, first: DataFrame, linked: DataFrame, nodes: Dat
 def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no): each line that goes, and the line that stays for it."""
     p = params
-    lines = _lines(docs, id_col, text_col, True)
+    lines = _lines(docs, id_col, text_col)
     kind = lines.schema["doc_id"].dataType.simpleString()
-    ordered = lines.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "line_no")
-    distinct = Stored(ordered.mapInArrow(_distinct, f"id long, n long, h1 long, h2 long, doc_id {kind}, line_no int, line string"), "lines")
+    # places without the line needn't meet it: those of a frequent one are spread
+    spread = F.when(F.col("line").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
+    ordered = lines.repartition("h1", "h2", spread).sortWithinPartitions("h1", "h2", "doc_id", "line_no", F.col("line").isNull())
+    places = Stored(ordered.mapInArrow(_placed, f"id long, n long, h1 long, h2 long, doc_id {kind}, line_no int, line string"), "lines")
+    distinct = places.df.where("id is not null")
 
     # partitions of bounded size, however many lines there are
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.df.count() * p.bands * ROW // p.partition))
-    bands = distinct.df.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket int, base long, rows binary").repartitionById(buckets, "bucket")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * p.bands * ROW // p.partition))
+    bands = distinct.select("id", "line").mapInArrow(_bucketed(p, buckets), "bucket int, base long, rows binary").repartitionById(buckets, "bucket")
     trees = Stored(bands.mapInArrow(_trees(p), "a long, b long, key long, ids array<long>, sketches array<long>"), "trees")
     first = Stored(trees.df.where("a is not null").select("a", "b").distinct(), "line_pairs")
     likely = connected_components(first.df)
     sized = likely.df.select(F.col("node").alias("d"), F.when(F.count("*").over(Window.partitionBy("root")) <= TOGETHER, F.col("root")).alias("root"))
     # all lines are shuffled: the same plan, and the same cost per byte, at every size; the narrow side is hashed, so they aren't sorted
-    linked = Stored(distinct.df.select("id", F.col("line").alias("text")).join(sized.hint("shuffle_hash"), F.col("id") == F.col("d")).select("id", "text", "root"), "linked")
+    linked = Stored(distinct.select("id", F.col("line").alias("text")).join(sized.hint("shuffle_hash"), F.col("id") == F.col("d")).select("id", "text", "root"), "linked")
     together = linked.df.where("root is not null").repartition("root").sortWithinPartitions("root", "id")
     roots = Stored(together.mapInArrow(_compared(p), "node long, root long"), "roots")
     crowded = likely.df.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("root")
@@ -576,15 +601,15 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), id_col:
         roots = Stored(roots.df.where("node is not null").unionByName(more.df), "roots")
     for table in tables:
         table.drop()
-    firsts = distinct.df.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
+    firsts = distinct.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("first"), "n")
     # only lines that have another one: in a component, or in several places
     grouped = Stored(firsts.join(roots.df.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "id")), "groups")
-    distinct.drop()
     roots.drop()
     kept = grouped.df.groupBy("root").agg(F.min("first").alias("keep"))
     copies = Stored(grouped.df.join(kept, "root").select("h1", "h2", "keep"), "copies")
     grouped.drop()
-    out = _lines(docs, id_col, text_col, False).join(copies.df.hint("shuffle_hash"), ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("keep")).groupBy("doc_id", "line_no").agg(F.min("keep").alias("keep"))
+    every = places.df.select("doc_id", "line_no", "h1", "h2")
+    out = every.join(copies.df.hint("shuffle_hash"), ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("keep")).groupBy("doc_id", "line_no").agg(F.min("keep").alias("keep"))
     return out.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
 
 

@@ -649,6 +649,20 @@ def test_connected_lines_in_one_task_and_in_blocks(spark, monkeypatch, together,
     assert sum(got[x] == want[x] for x in got) >= 0.97 * len(got)
 
 
+def test_texts_are_split_once_and_all_places_kept(spark, monkeypatch):
+    """A line of 300 documents in many tasks, repeated rows and all: one pass over the texts finds each place."""
+    read, texts = [], line_dedup.texts
+    monkeypatch.setattr(line_dedup, "texts", lambda *args: read.append(1) or texts(*args))
+    rng = random.Random(15)
+    line = words(rng, 20)
+    rows = [(i, "\n".join([words(rng, 10), line, words(rng, 10), line.upper()][i % 3 :])) for i in range(300)]
+    rows += rows[:40]
+    rng.shuffle(rows)
+    got = [((r.doc_id, r.line_no), (r.keep_doc_id, r.keep_line_no)) for r in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), line_dedup.NEAR).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == brute.duplicate_lines(rows, 5, 0.7) and len(got) > 400
+    assert len(read) == 1
+
+
 def test_distinct_lines_over_batches(monkeypatch):
     monkeypatch.setattr(line_dedup.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})()))
     rng = random.Random(3)
