@@ -90,7 +90,7 @@ LIST = 4096
 #: Partitions that the places of a frequent line are spread over at most.
 SPREAD = 64
 #: Connected lines that one task compares with each other at most, and the bytes of their texts.
-TOGETHER, TOGETHER_BYTES = 4096, 16 << 20
+TOGETHER, TOGETHER_BYTES = 4096, 4 << 20
 #: Members of a bucket up to which its forest is the shortest one.
 SHORTEST = 1024
 
