@@ -9,19 +9,28 @@ from pyspark.sql import functions as F
 
 #: Every line end that text files use, as one split pattern.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+#: Blanks that trimming a line takes off: all space separators, as SQL's trim does.
+BLANKS = "".join(map(chr, [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
 
 
-def lines_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """(keep..., line_no, line): one row per line; the empty piece after a last line end is no line."""
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), LINE_END)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+def lines_of(df: DataFrame, text: str, *keep: str, ends: str = LINE_END, empty: bool = False) -> DataFrame:
+    """(keep..., line_no, line): one row per line; the empty piece after a last line end is no line.
+
+    ``ends`` is the pattern of line ends; with ``empty`` an empty text (not a missing one) is one empty line.
+    """
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), ends)
+    parts = F.when(F.lit(empty) & (F.col(text) == ""), parts).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     return df.select(*keep, F.posexplode(parts).alias("line_no", "line"))
 
 
+def _trim(line: str) -> Column:
+    return F.btrim(F.col(line), F.lit(BLANKS))
+
+
 def context(lines: DataFrame, key: str, at: str, line: str, window: int = 2) -> DataFrame:
     """Each line with the trimmed, non-empty lines around it, joined by blanks."""
     w = Window.partitionBy(key).orderBy(at).rowsBetween(-window, window)
-    near = F.collect_list(F.nullif(F.trim(line), F.lit(""))).over(w)
+    near = F.collect_list(F.nullif(_trim(line), F.lit(""))).over(w)
     return lines.withColumn("context", F.array_join(near, " "))
 
 
