@@ -37,7 +37,7 @@ def context(lines: DataFrame, key: str, at: str, line: str, window: int = 2) ->
 def next_present(lines: DataFrame, key: str, at: str, line: str) -> DataFrame:
     """Each line with the next one that isn't blank."""
     w = Window.partitionBy(key).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
-    return lines.withColumn("next_line", F.first(F.when(F.trim(line) != "", F.col(line)), ignorenulls=True).over(w))
+    return lines.withColumn("next_line", F.first(F.when(_trim(line) != "", F.col(line)), ignorenulls=True).over(w))
 
 
 def collapse_runs(df: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -25,6 +25,13 @@ def documents():
     return " union all ".join(f"select {i}::bigint as doc_id, ({quote(x)})::varchar as text" for i, x in enumerate(TEXTS))
 
 
-@pytest.mark.parametrize("name", ["context_window"])
+@pytest.mark.parametrize("name", ["context_window", "next_nonempty"])
 def test_lines_of_odd_texts(spark, tmp_path, name):
     same(spark, tmp_path, name, documents=documents())
+
+
+def test_links_whose_ids_repeat(spark, tmp_path):
+    # 1 * 1,000,000 + 1,000,005 is 2 * 1,000,000 + 5
+    part = "select p_partkey::bigint as p_partkey, p_name from (values (5, 'small bolt'), (1000005, 'red nut'), (7, 'Same'), (8, 'same')) t(p_partkey, p_name)"
+    lineitem = "select l_orderkey::bigint as l_orderkey, l_partkey::bigint as l_partkey from (values (1, 1000005), (2, 5), (2, 5), (3, 7), (3, 8), (4, 7)) t(l_orderkey, l_partkey)"
+    same(spark, tmp_path, "repair_by_name", part=part, lineitem=lineitem)
