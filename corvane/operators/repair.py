@@ -25,14 +25,16 @@ def repair_by_name(links: DataFrame, mentions: DataFrame, link_id: str) -> DataF
     ``links``: (link_id, episode_url, canonical_key, citation_label, paper_title, ...); ``mentions``: (episode_url,
     canonical_key, citation_label, paper_title). Names meet by equality of their normalised text, titles only titles.
     """
-    def names(df: DataFrame, keep: list[str]) -> DataFrame:
-        pair = [F.struct(F.lit(k).alias("kind"), text.key_text(c).alias("name")) for k, c in (("t", "paper_title"), ("l", "citation_label"))]
-        return df.select(*keep, F.explode(F.array(*pair)).alias("_n")).select(*keep, F.col("_n.kind").alias("_kind"), F.col("_n.name").alias("_name")).where("_name <> ''")
-
-    known = names(mentions.where("canonical_key is not null").select("episode_url", F.col("canonical_key").alias("_new"), "citation_label", "paper_title"), ["episode_url", "_new"]).distinct()
-    found = names(links, [link_id, "episode_url"]).join(known, ["episode_url", "_kind", "_name"]).groupBy(link_id).agg(F.min("_new").alias("_new"), F.max("_new").alias("_last"))
-    one = found.where(F.col("_new") == F.col("_last")).drop("_last")
-    out = links.join(one, link_id, "left")
+    sides = {"_t": "paper_title", "_l": "citation_label"}
+    out = links
+    for side, column in sides.items():
+        named = mentions.where("canonical_key is not null").select(F.col("episode_url").alias(f"{side}u"), text.key_text(column).alias(f"{side}n"), "canonical_key").where(F.col(f"{side}n") != "")
+        known = named.groupBy(f"{side}u", f"{side}n").agg(F.min("canonical_key").alias(f"{side}min"), F.max("canonical_key").alias(f"{side}max"))
+        out = out.withColumn(f"{side}k", F.nullif(text.key_text(column), F.lit("")))
+        out = out.join(known, (F.col("episode_url") == F.col(f"{side}u")) & (F.col(f"{side}k") == F.col(f"{side}n")), "left").drop(f"{side}u", f"{side}n", f"{side}k")
+    # each link is looked up by itself: ids may repeat
+    low, high = F.least("_tmin", "_lmin"), F.greatest("_tmax", "_lmax")
+    out = out.withColumn("_new", F.when(low == high, low)).drop("_tmin", "_tmax", "_lmin", "_lmax")
     return out.withColumn("repaired", F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("canonical_key"))).withColumn("canonical_key", F.coalesce("_new", "canonical_key")).drop("_new")
 
 
